@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import op01_token_planes, op02_mixing, op07_pii
+from skein.llm import op01_token_planes, op02_mixing, op07_pii, op09_line_dedup
 
 QUERIES = {
     "op1_token_planes": op01_token_planes.op1_token_planes,
     "op2_mixing": op02_mixing.op2_mixing,
     "op7_pii": op07_pii.op7_pii,
+    "op9_line_dedup": op09_line_dedup.op9_line_dedup,
 }
-ORACLE_SQL = {"op2_mixing": op02_mixing.OP2_SQL}
+ORACLE_SQL = {"op2_mixing": op02_mixing.OP2_SQL, "op9_line_dedup": op09_line_dedup.OP9_SQL}
