@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import op01_token_planes, op02_mixing, op07_pii, op09_line_dedup
+from skein.llm import op01_token_planes, op02_mixing, op04_substring_dedup, op06_suffix_array_dedup, op07_pii, op09_line_dedup
 
 QUERIES = {
     "op1_token_planes": op01_token_planes.op1_token_planes,
     "op2_mixing": op02_mixing.op2_mixing,
+    "op4_substring_dedup": op04_substring_dedup.op4_substring_dedup,
+    "op6_suffix_array_dedup": op06_suffix_array_dedup.op6_suffix_array_dedup,
     "op7_pii": op07_pii.op7_pii,
     "op9_line_dedup": op09_line_dedup.op9_line_dedup,
 }
