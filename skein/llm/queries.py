@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import op01_token_planes, op02_mixing, op04_substring_dedup, op06_suffix_array_dedup, op07_pii, op09_line_dedup
+from skein.llm import op01_token_planes, op02_mixing, op04_substring_dedup, op06_suffix_array_dedup, op07_pii, op09_line_dedup, op10_packing
 
 QUERIES = {
     "op1_token_planes": op01_token_planes.op1_token_planes,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_suffix_array_dedup": op06_suffix_array_dedup.op6_suffix_array_dedup,
     "op7_pii": op07_pii.op7_pii,
     "op9_line_dedup": op09_line_dedup.op9_line_dedup,
+    "op10_packing": op10_packing.op10_packing,
 }
 ORACLE_SQL = {"op2_mixing": op02_mixing.OP2_SQL, "op9_line_dedup": op09_line_dedup.OP9_SQL}
