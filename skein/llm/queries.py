@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from skein.llm import op01_token_planes, op02_mixing, op03_jaccard_join, op04_substring_dedup, op06_suffix_array_dedup, op07_pii, op09_line_dedup, op10_packing
+from skein.llm import op01_token_planes, op02_mixing, op03_jaccard_join, op04_substring_dedup, op05_quality, op06_suffix_array_dedup, op07_pii, op09_line_dedup, op10_packing
 
 QUERIES = {
     "op1_token_planes": op01_token_planes.op1_token_planes,
     "op2_mixing": op02_mixing.op2_mixing,
     "op3_jaccard_join": op03_jaccard_join.op3_jaccard_join,
     "op4_substring_dedup": op04_substring_dedup.op4_substring_dedup,
+    "op5_quality": op05_quality.op5_quality,
     "op6_suffix_array_dedup": op06_suffix_array_dedup.op6_suffix_array_dedup,
     "op7_pii": op07_pii.op7_pii,
     "op9_line_dedup": op09_line_dedup.op9_line_dedup,
