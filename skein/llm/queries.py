@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import op01_token_planes, op02_mixing, op03_jaccard_join, op04_substring_dedup, op05_quality, op06_suffix_array_dedup, op07_pii, op09_line_dedup, op10_packing
+from skein.llm import op01_token_planes, op02_mixing, op03_jaccard_join, op04_substring_dedup, op05_quality, op06_suffix_array_dedup, op07_pii, op08_permutation_ann, op09_line_dedup, op10_packing
 
 QUERIES = {
     "op1_token_planes": op01_token_planes.op1_token_planes,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": op05_quality.op5_quality,
     "op6_suffix_array_dedup": op06_suffix_array_dedup.op6_suffix_array_dedup,
     "op7_pii": op07_pii.op7_pii,
+    "op8_permutation_ann": op08_permutation_ann.op8_permutation_ann,
     "op9_line_dedup": op09_line_dedup.op9_line_dedup,
     "op10_packing": op10_packing.op10_packing,
 }
