@@ -3,8 +3,10 @@
 Only some suffixes are kept: those that begin where a run of `prefix` tokens has the least hash of all such runs in
 some window (its anchor). A window's anchor depends on the window's tokens alone, so equal windows have equal anchors at
 the same distance, and nothing is lost. Suffixes are dealt out by their prefix, the anchor's hash, and a prefix that only
-one place has is dropped before anything else is kept of it. What remains of a prefix group are its windows by distance
-from the anchor, sorted; equal neighbours are an inner node at full depth, a repeat.
+one place has is dropped before anything else is kept of it. The stretch of text that an anchor's windows cover is its block.
+Blocks that are equal as a whole are one leaf, all of whose windows repeat; of each leaf one block stands for all. What
+remains of a prefix group with several leaves are their windows by distance from the anchor, sorted; equal neighbours are
+an inner node at full depth, a repeat.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import kernels, session
@@ -38,8 +40,8 @@ def _range_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffixes(tokens: np.ndarray, bounds: np.ndarray, width: int, prefix: int) -> Iterator[tuple]:
-    """For parts of a slice: (prefix hash, row, first window's start, its distance from the anchor, windows) for each kept suffix, and a
-    function that gives the hashes of ranges of windows. bounds: the rows' offsets into tokens."""
+    """For parts of a slice: (prefix hash, row, first window's start, its distance from the anchor, windows, block hash) for each kept suffix,
+    and a function that gives the hashes of ranges of windows. bounds: the rows' offsets into tokens."""
     if len(tokens) < width:
         return
     rows = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
@@ -66,7 +68,8 @@ def suffixes(tokens: np.ndarray, bounds: np.ndarray, width: int, prefix: int) ->
             return (kernels.span(hashes, s, s + width, _BASE) >> U(32)).astype(np.uint32)
 
         row = where[at].astype(np.int64)
-        yield runs[place[first]], row, begin + at - bounds[row], place[first] - at, count, windows
+        block = kernels.span(hashes, at, at + count - 1 + width, _BASE)
+        yield runs[place[first]], row, begin + at - bounds[row], place[first] - at, count, block, windows
 
 
 def _prefixes(split: Callable, width: int, prefix: int):
@@ -81,39 +84,71 @@ def _prefixes(split: Callable, width: int, prefix: int):
     return run
 
 
-def _windows(split: Callable, width: int, prefix: int, repeated: Broadcast):
+def _blocks(split: Callable, width: int, prefix: int, repeated: Broadcast):
     def run(batches):
         bits = np.frombuffer(repeated.value, np.uint8)
         for batch in batches:
             ids, keys = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             for first, end, data, at in kernels.slices(batch.column("text")):
                 tokens, bounds = split(data, at)
-                for h, row, start, lead, count, windows in suffixes(tokens, bounds, width, prefix):
-                    slot = (h >> U(64 - FILTER_BITS)).astype(np.int64)
-                    keep = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                for h, row, start, _, count, block, _ in suffixes(tokens, bounds, width, prefix):
+                    keep = np.flatnonzero(_has(bits, h))
+                    if len(keep):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[keep].view(np.int64), ids[first:end][row[keep]], keys[first:end][row[keep]], start[keep], count[keep].astype(np.int32), block[keep].view(np.int64))], ["h", "id", "row", "start", "count", "block"])
+
+    return run
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes >> U(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _place(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return kernels.mix(ids.view(U) ^ kernels.mix(rows.view(U) ^ kernels.mix(starts.view(U))))
+
+
+def _places(batches):
+    for batch in batches:
+        place = _place(*(batch.column(c).to_numpy() for c in ("id", "row", "start")))
+        yield pa.RecordBatch.from_arrays([pa.array((place >> U(64 - FILTER_BITS)).astype(np.int64))], ["slot"])
+
+
+def _windows(split: Callable, width: int, prefix: int, wanted: Broadcast):
+    """The windows of the blocks that stand for their leaves."""
+
+    def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            ids, keys = batch.column("id").to_numpy(), batch.column("row").to_numpy()
+            for first, end, data, at in kernels.slices(batch.column("text")):
+                tokens, bounds = split(data, at)
+                for h, row, start, lead, count, block, windows in suffixes(tokens, bounds, width, prefix):
+                    own = ids[first:end][row]
+                    keep = np.flatnonzero(_has(bits, _place(own, keys[first:end][row], start)))
                     if not len(keep):
                         continue
                     lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count[keep])]).astype(np.int32), windows(keep).view(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[first:end][row[keep]]), pa.array(keys[first:end][row[keep]]), pa.array(start[keep]), pa.array(lead[keep].astype(np.int32)), lists], ["h", "id", "row", "start", "lead", "windows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(own[keep]), pa.array(block[keep].view(np.int64)), pa.array(lead[keep].astype(np.int32)), lists], ["h", "id", "block", "lead", "windows"])
 
     return run
 
 
 def _repeats(width: int, earlier: bool):
-    """Over suffixes sorted by (h, id, row, start): ranges of tokens covered by repeated windows.
+    """Over blocks sorted by (h, id, block): (h, block, start, end), ranges of a block's tokens that repeated windows cover.
 
     Memory: an Arrow batch, and the distinct windows of the prefix group that a batch ends in.
     """
 
-    def emit(ids, rows, starts):
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1)
+    def emit(h, blocks, starts):
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (blocks[1:] != blocks[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(ids)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(rows[first]), pa.array(starts[first]), pa.array(starts[last] + width)], ["id", "row", "start", "end"])
+        last = np.append(first[1:], len(h)) - 1
+        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(blocks[first]), pa.array(starts[first]), pa.array(starts[last] + width)], ["h", "block", "from", "to"])
 
     def run(batches):
-        group, carried = None, None  # the last group, and its windows: key (sorted), id, row, start, whether already emitted
+        group, carried = None, None  # the last group, and its windows: key (sorted), least id, block, start in it, whether already emitted
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -125,9 +160,9 @@ def _repeats(width: int, earlier: bool):
             inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
             distance = (np.repeat(batch.column("lead").to_numpy(), n) - inner).astype(U)
             key = (distance << U(32)) | lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32).astype(U)
-            key = kernels.mix(key) ^ kernels.mix(np.repeat(h.view(U), n))
-            ids, rows = np.repeat(batch.column("id").to_numpy(), n), np.repeat(batch.column("row").to_numpy(), n)
-            starts = np.repeat(batch.column("start").to_numpy(), n) + inner
+            wide = np.repeat(h, n)
+            key = kernels.mix(key) ^ kernels.mix(wide.view(U))
+            ids, blocks = np.repeat(batch.column("id").to_numpy(), n), np.repeat(batch.column("block").to_numpy(), n)
             order = np.argsort(key, kind="stable")
             ordered = key[order]
             new = np.ones(total, bool)
@@ -136,27 +171,25 @@ def _repeats(width: int, earlier: bool):
             number = np.empty(total, np.int64)  # of each window's key
             number[order] = np.cumsum(new) - 1
             leader = order[first]  # the first place of each key here
-            count = np.diff(np.append(first, total))
+            several = np.diff(np.append(first, total)) > 1
             least = ids[leader]
-            out, known = np.zeros(len(first), bool), None
+            known = np.zeros(len(first), bool)
             if carried is not None and h[0] == group:
-                spot = np.minimum(np.searchsorted(carried[0], ordered[first]), max(len(carried[0]) - 1, 0))
+                spot = np.minimum(np.searchsorted(carried[0], ordered[first]), len(carried[0]) - 1)
                 known = carried[0][spot] == ordered[first]
-                out = known.copy()
                 least = np.where(known, np.minimum(carried[1][spot], least), least)
-                if not earlier:  # the carried first place counts from its second one on
-                    late = np.unique(spot[known])
-                    late = late[~carried[4][late]]
-                    if len(late):
-                        carried[4][late] = True
-                        by = np.lexsort((carried[3][late], carried[2][late], carried[1][late]))
-                        yield emit(carried[1][late][by], carried[2][late][by], carried[3][late][by])
-            hit = ids > least[number] if earlier else (out | (count > 1))[number]
+                late = np.unique(spot[known])
+                late = late[~carried[4][late]]
+                if not earlier and len(late):  # a first place counts from its second one on
+                    carried[4][late] = True
+                    by = np.lexsort((carried[3][late], carried[2][late]))
+                    yield emit(np.full(len(late), group), carried[2][late][by], carried[3][late][by])
+            hit = ids > least[number] if earlier else (known | several)[number]
             if hit.any():
-                yield emit(ids[hit], rows[hit], starts[hit])
+                yield emit(wide[hit], blocks[hit], inner[hit])
             # what the next batch needs: the distinct windows of this batch's last group
-            same = np.repeat(h == h[-1], n)[leader]
-            mine = (ordered[first][same], least[same], rows[leader][same], starts[leader][same], (out | (count > 1))[same])
+            same = (wide == h[-1])[leader]
+            mine = [x[same] for x in (ordered[first], least, blocks[leader], inner[leader], known | several)]
             if carried is not None and h[-1] == group:
                 fresh = ~known[same]
                 mine = [np.concatenate([a, b[fresh]]) for a, b in zip(carried, mine)]
@@ -171,16 +204,30 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     """(id, row, spans array<struct<start,end>>): ranges of tokens in docs (id, row, text) covered by windows that also start in a row of
     smaller id (earlier), or anywhere else. Ranges may touch and overlap.
 
-    `split` gives a slice's tokens and its rows' offsets into them. Two windows count as equal if 64 bits of hash of the prefix, the
-    distance and 32 bits of hash of the window agree.
+    `split` gives a slice's tokens and its rows' offsets into them. Two windows count as equal if 64 bits of hash of the prefix,
+    the distance and 32 bits of hash of the window agree, or 64 bits of hash of their blocks.
     """
     spark = docs.sparkSession
     places = docs.select("id", "text").mapInArrow(_prefixes(split, width, prefix), "h long, id long").groupBy("h")
     shared = places.agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b") if earlier else places.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = spark.sparkContext.broadcast(bitmap(shared, F.shiftrightunsigned("h", 64 - FILTER_BITS), FILTER_BITS))
-    kept = docs.mapInArrow(_windows(split, width, prefix, repeated), "h long, id long, row long, start long, lead int, windows array<int>")
-    kept = kept.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "row", "start")
-    ranges = kept.mapInArrow(_repeats(width, earlier), "id long, row long, start long, end long")
+    blocks = docs.mapInArrow(_blocks(split, width, prefix, repeated), "h long, id long, row long, start long, count int, block long")
+    leaf = Window.partitionBy("h", "block")
+    blocks = blocks.repartition(session.partitions(spark), "h")
+    blocks = blocks.withColumn("several", F.min("block").over(Window.partitionBy("h")) < F.max("block").over(Window.partitionBy("h")))
+    blocks = blocks.withColumn("whole", F.col("id") > F.min("id").over(leaf) if earlier else F.count(F.lit(1)).over(leaf) > 1)
+    blocks = blocks.withColumn("stands", F.col("several") & (F.row_number().over(leaf.orderBy("id", "row", "start")) == 1))
+    path = session.new_path(spark, "blocks")
+    blocks.where("whole or several").drop("several").write.parquet(path)
+    blocks = spark.read.parquet(path)
+    places = blocks.where("stands").select("id", "row", "start").mapInArrow(_places, "slot long")
+    wanted = spark.sparkContext.broadcast(bitmap(places, F.col("slot"), FILTER_BITS))
+    leaves = docs.mapInArrow(_windows(split, width, prefix, wanted), "h long, id long, block long, lead int, windows array<int>")
+    leaves = leaves.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "block")
+    inner = leaves.mapInArrow(_repeats(width, earlier), "h long, block long, from long, to long").distinct()
+    whole = blocks.where("whole").select("id", "row", F.col("start"), (F.col("start") + F.col("count") - 1 + width).alias("end"))
+    part = blocks.where("not whole").join(inner, ["h", "block"]).select("id", "row", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
+    ranges = whole.unionByName(part)
     return session.checkpoint(ranges.groupBy("id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
