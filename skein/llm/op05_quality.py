@@ -18,9 +18,9 @@ from skein.llm import kernels
 
 U = np.uint64
 #: Labelled documents that the model is fitted on, at most; a fifth of them only calibrate it.
-SAMPLE = 3000
+SAMPLE = 1500
 #: Buckets of each kind of n-gram.
-BUCKET_BITS = 16
+BUCKET_BITS = 15
 KINDS = ("word 1-grams", "word 2-grams", "byte 3-grams", "byte 5-grams")
 UNIT = 1 << 20
 #: Documents are kept from this calibrated probability of quality on.
@@ -137,11 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 1
     held = np.arange(len(y)) % 5 == 4 if min(y.sum(), len(y) - y.sum()) >= 20 else np.zeros(len(y), bool)
     size = len(KINDS) << BUCKET_BITS
     train = np.flatnonzero(~held)
-    col, value = np.concatenate([cols[i] for i in train]), np.concatenate([values[i] for i in train]).astype(float)
-    owner = np.repeat(np.arange(len(train)), [len(cols[i]) for i in train])
+    col, value = np.concatenate([cols[i] for i in train]), np.concatenate([values[i] for i in train])
+    owner = np.repeat(np.arange(len(train), dtype=np.int32), [len(cols[i]) for i in train])
     # frequencies are small: columns are scaled to about unit size, and adaptive steps do the rest
     spread = np.sqrt(np.bincount(col, value**2, size) / len(train)) + 1e-4
-    value = value / spread[col] / np.sqrt(size)
+    value = (value / spread[col] / np.sqrt(size)).astype(np.float32)
     # the two classes weigh the same: a rare one is not given up for the common one
     balance = np.where(y[train] == 1, 0.5 / max(y[train].mean(), 1e-9), 0.5 / max(1 - y[train].mean(), 1e-9))
     w, b = np.zeros(size), 0.0
