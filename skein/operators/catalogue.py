@@ -71,3 +71,9 @@ def has_error(text: Column, marker: str) -> Column:
 
 def without(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, for work in Python that costs far more than a shuffle; a table of more partitions stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

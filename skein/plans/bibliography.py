@@ -159,13 +159,14 @@ def early_stop_trace(spark, d):
     return report.early_stopping(_losses(spark, d), "run", "epoch", "loss", 2).select("run", "epoch", "best", "counter", "stop")
 
 
-@query(f"""
-WITH l AS ({_LOSS}), m AS (SELECT epoch, run, loss FROM l)
-SELECT epoch, run, round(loss, 4) AS mean_loss FROM m UNION ALL SELECT epoch, 'total', round(sum(loss), 4) FROM m GROUP BY epoch
+@query("""
+WITH m AS (SELECT CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch, event_type AS run, avg(value) AS loss FROM events GROUP BY 1, 2)
+SELECT epoch, run, round(loss, 5) AS mean_loss FROM m UNION ALL SELECT epoch, 'total', round(sum(loss), 5) FROM m GROUP BY epoch
 """)
 def epoch_loss_means(spark, d):
-    rows = report.loss_means(_losses(spark, d), "epoch", "run", "loss")
-    return rows.select("epoch", "run", F.round("mean_loss", 4).alias("mean_loss"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2000-01-01").cast("date")).cast("long")
+    rows = report.loss_means(table(spark, d, "events").select(day.alias("epoch"), F.col("event_type").alias("run"), "value"), "epoch", "run", "value")
+    return rows.select("epoch", "run", F.round("mean_loss", 5).alias("mean_loss"))
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein import schema
 from skein.functions import text
-from skein.operators import dictionary, markup, tokens
+from skein.operators import catalogue, dictionary, markup, tokens
 from skein.plans.registry import query, table
 
 _TOKENS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
@@ -110,7 +110,8 @@ def _terms(spark, d):
 
 
 def _tagged(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", typed(tokens.token_spans(F.col("text"))).alias("tokens"))
+    docs = catalogue.spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
+    docs = docs.select("doc_id", "lang", typed(tokens.token_spans(F.col("text"))).alias("tokens"))
     return dictionary.tagged(docs, "tokens", _terms(spark, d))
 
 
