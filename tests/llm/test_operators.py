@@ -1,0 +1,392 @@
+"""Each operator against a plain version, on texts with every odd case."""
+
+import hashlib
+import random
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skein.llm import kernels, op01_token_planes, op02_mixing, op03_jaccard_join, op04_substring_dedup, op05_quality, op06_suffix_array_dedup, op07_pii, op08_permutation_ann, op09_line_dedup, op10_packing, session, tokenizing
+
+tokenizers = pytest.importorskip("tokenizers")
+public = pytest.importorskip("public_tokenizers")
+
+
+def got(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def plain_ids(name, texts):
+    model = tokenizers.Tokenizer.from_file(public.path(name))
+    model.encode_special_tokens = True
+    return [model.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+# -- kernels
+
+
+def test_window_argmin_is_leftmost():
+    values = np.random.default_rng(0).integers(0, 5, 300).astype(np.uint64)
+    for width in (1, 2, 7, 35):
+        assert kernels.window_argmin(values, width).tolist() == [i + int(np.argmin(values[i : i + width])) for i in range(300 - width + 1)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_whole_texts(name, rows):
+    import pyarrow as pa
+
+    texts = [t for _, t in rows] + ["", " a b", "a  b", "x  y z", "é è", "<|endoftext|> a", "é ́x it's we'll", "a×, ×,b ÷!", "İ ǅ Σας", "\x00 \x01a"]
+    want = plain_ids(name, texts)
+    out = []
+    for _, _, ids, at in tokenizing.encode(public.path(name), pa.array(texts), 2):
+        out += [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+    assert out == want
+
+
+def test_encoder_forgets_rare_pieces(monkeypatch, rows):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenizing, "CACHE", 100)
+    monkeypatch.setattr(tokenizing, "SLICE", 3000)
+    monkeypatch.setattr(tokenizing, "_encoders", {})
+    texts = [t for _, t in rows][:40]
+    out = [ids[a:b].tolist() for _, _, ids, at in tokenizing.encode(public.path("byte_bpe_50k.json"), pa.array(texts), 2) for a, b in zip(at, at[1:])]
+    assert out == plain_ids("byte_bpe_50k.json", texts)
+
+
+# -- 1 token planes
+
+
+@pytest.mark.parametrize("bits", [False, True])
+@pytest.mark.parametrize("n", [1, 7, 8, 1000])
+def test_planes_round_trip(n, bits):
+    ids = np.random.default_rng(n).integers(0, 2**32, n, dtype=np.uint32)
+    planes = op01_token_planes.to_planes(ids, bits)
+    assert len(planes) == (32 if bits else 4)
+    assert op01_token_planes.from_planes(planes, n).tolist() == ids.tolist()
+
+
+def test_crc_join():
+    import zlib
+
+    a, b = b"some bytes", bytes(range(256)) * 5
+    assert op01_token_planes.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+@pytest.mark.parametrize("block", [1 << 16, 64])
+def test_token_planes(spark, docs, empty, rows, block):
+    path = session.new_path(spark, "test")
+    op01_token_planes.write(docs, path, public.path("byte_bpe_50k.json"), block=block, bits=block == 64)
+    order = sorted(rows, key=lambda r: (brute.key(r[0]), r[1] is not None, (r[1] or "").encode()))
+    want, start = Counter(), 0
+    for (d, _), ids in zip(order, plain_ids("byte_bpe_50k.json", [t for _, t in order])):
+        want[d, start, len(ids), brute.crc(ids)] += 1
+        start += len(ids)
+    assert got(op01_token_planes.digests(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    sizes = {r["n_ids"] for r in spark.read.parquet(path).collect()}
+    assert max(sizes) <= block
+    path = session.new_path(spark, "test")
+    op01_token_planes.write(empty, path, public.path("byte_bpe_50k.json"))
+    assert op01_token_planes.digests(spark, path).count() == 0
+
+
+# -- 2 mixing
+
+
+def test_mixing(docs, empty, rows):
+    mixed = op02_mixing.mix(docs).collect()
+    assert Counter(r["doc_id"] for r in mixed) == Counter(d for d, _ in rows)
+    sizes = Counter()
+    for r in mixed:
+        assert r["taken"] <= 2 * r["size"]
+        sizes[r["source"]] += r["size"]
+    weights = dict(zip(sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None], (3, 1, 2, 3, 1)))
+    money, target = 1.5 * sum(sizes.values()), {}
+    left = dict(weights)
+    while left:
+        share = {s: (money - sum(target.values())) * w / sum(left.values()) for s, w in left.items()}
+        over = [s for s in left if share[s] > 2 * sizes[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            del left[s]
+    for source in sizes:
+        mine = [r for r in mixed if r["source"] == source]
+        assert {r["source_size"] for r in mine} == {sizes[source]}
+        assert mine[0]["target"] == pytest.approx(target[source])
+        assert sum(r["taken"] for r in mine) == int(mine[0]["target"])
+    assert got(op02_mixing.mix(docs), "doc_id", "taken") == Counter((r["doc_id"], r["taken"]) for r in mixed)
+    assert op02_mixing.mix(empty).count() == 0
+    assert op02_mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).where("taken <> 0 or target <> 0").count() == 0
+
+
+def test_mixed_documents(docs, empty):
+    rows = op02_mixing.mixed(docs)
+    assert rows.columns == docs.columns
+    target = {r["source"]: (r["target"], r["source_size"]) for r in op02_mixing.mix(docs).select("source", "target", "source_size").distinct().collect()}
+    words = Counter()
+    longest = Counter()
+    for r in rows.collect():
+        n = len(brute.WORD.findall(r["text"] or ""))
+        words[r["source"]] += n
+        longest[r["source"]] = max(longest[r["source"]], n)
+    for source, (wanted, _) in target.items():
+        assert wanted - 1 <= words[source] <= wanted + longest[source]
+    assert op02_mixing.mixed(empty).count() == 0
+
+
+# -- 3 Jaccard join
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_jaccard_join(docs, empty, rows, k, percent):
+    assert got(op03_jaccard_join.join(docs, k, percent), "doc_id", "n_shingles", "component_id") == Counter(brute.components(rows, k, percent))
+    assert op03_jaccard_join.join(empty, k, percent).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_linked_sets_share_a_block(percent):
+    rng = np.random.default_rng(percent)
+    for size in [1, 2, 5, 9, 10, 11, 19, 30, 77, 200]:
+        for _ in range(30):
+            a = rng.choice(2**40, size, replace=False).astype(np.uint64)
+            both = rng.integers(0, size + 1)
+            b = np.concatenate([a[: size - both // 4], rng.choice(2**40, rng.integers(0, 1 + size // 4), replace=False).astype(np.uint64)])
+            if not len(b):
+                continue
+            a, b = np.unique(a), np.unique(b)
+            inner = len(np.intersect1d(a, b))
+            if 100 * inner >= percent * (len(a) + len(b) - inner):
+                keys, owner = op03_jaccard_join.block_keys([a, b], percent)
+                assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+def test_group_links_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base = np.sort(rng.choice(10**6, 60, replace=False)).astype(np.uint64)
+        sets = [base]
+        for _ in range(25):
+            own = sets[rng.integers(len(sets))].copy()
+            own[rng.choice(len(own), rng.integers(0, 9), replace=False)] = rng.choice(10**6, 1)[0]
+            sets.append(np.unique(own))
+        names = list(range(len(sets)))
+        links = op03_jaccard_join.group_links(names, np.array([len(s) for s in sets]), [np.setxor1d(base, s) for s in sets], 80)
+        root = {b: a for a, b in links}
+        mine = [root.get(i, i) for i in names]
+        want = list(names)
+        for i in names:
+            for j in range(i):
+                n = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                    a, b = min(want[i], want[j]), max(want[i], want[j])
+                    want = [a if w == b else w for w in want]
+        assert mine == want
+
+
+def test_classes(spark):
+    rng = random.Random(5)
+    for edges in ([], [(1, 2)], [(i, i + 1) for i in range(40)], [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]):
+        root = {x: x for e in edges for x in e}
+        for _ in range(200):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        out = session.classes(spark.createDataFrame(edges, "a long, b long"))
+        mine = {r["node"]: r["root"] for r in out.collect()}
+        assert {n: mine.get(n, n) for n in root} == root
+
+
+# -- 4 and 6 repeated windows
+
+
+@pytest.mark.parametrize(("window", "prefix"), [(50, 16), (8, 3), (5, 5)])
+def test_substring_dedup(docs, empty, rows, window, prefix):
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got(op04_substring_dedup.digests(docs, window, prefix), *columns) == Counter(brute.windows_removed(rows, window))
+    assert op04_substring_dedup.digests(empty).count() == 0
+
+
+def test_substring_dedup_gives_texts(docs):
+    out = op04_substring_dedup.dedup(docs, 8, 3).withColumn("kept_sha256", F.sha2("text", 256))
+    assert got(out, "doc_id", "n_removed", "kept_sha256") == got(op04_substring_dedup.digests(docs, 8, 3), "doc_id", "n_removed", "kept_sha256")
+
+
+@pytest.mark.parametrize(("window", "prefix"), [(400, 64), (30, 8)])
+def test_suffix_array_dedup(docs, empty, rows, window, prefix):
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got(op06_suffix_array_dedup.dedup(docs, window, prefix, digest=True), *columns) == Counter(brute.bytes_removed(rows, window))
+    kept = op06_suffix_array_dedup.dedup(docs, window, prefix).collect()
+    assert Counter(hashlib.sha256(r["kept"]).hexdigest() for r in kept) == Counter(r[-1] for r in brute.bytes_removed(rows, window))
+    assert op06_suffix_array_dedup.dedup(empty).count() == 0
+
+
+def test_long_texts_are_walked_in_parts(spark, monkeypatch):
+    from skein.llm import repeats
+
+    monkeypatch.setattr(repeats, "PART", 37)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(3)]
+    texts += [texts[0][50:250] + texts[1][:90], "ab" * 200]
+    at = np.cumsum([0] + [len(t) for t in texts])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    seen = {}
+    for h, row, start, lead, count, block, windows in repeats.suffixes(data, at, 20, 6):
+        hashes = windows(np.arange(len(h))).tolist()
+        for i in range(len(h)):
+            for j in range(count[i]):
+                text = texts[row[i]][start[i] + j : start[i] + j + 20]
+                assert len(text) == 20
+                seen.setdefault(text, set()).add((int(h[i]), int(lead[i]) - j, hashes.pop(0)))
+    assert all(len(v) == 1 for v in seen.values())
+    assert set(seen) == {t[i : i + 20] for t in texts for i in range(len(t) - 19)}
+
+
+# -- 5 quality
+
+
+def test_quality_counts(docs, empty, rows):
+    judged = op05_quality.judge(docs, None)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got(judged, "doc_id", *names) == Counter((d, *brute.quality(t)) for d, t in rows)
+    assert judged.where("kept = base_failed").count() == 0
+    assert op05_quality.judge(empty, None).count() == 0
+
+
+def test_quality_model(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    train = labels.where("doc_id % 3 <> 0").unionByName(spark.createDataFrame([(None, 1, 0), (1, None, 0), (2, 7, 0)], "doc_id long, quality int, toxic int"))
+    model = op05_quality.fit(docs, train)
+    rows = op05_quality.judge(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id").where("not base_failed").collect()
+    right = [r["kept"] == (r["quality"] == 1) for r in rows]
+    assert len(rows) > 80 and sum(right) / len(right) > 0.95
+    assert all(r["kept"] for r in rows if r["probability"] > 0.9)
+    again = op05_quality.fit(docs.repartition(5), train)
+    assert (again.weights == model.weights).all() and (again.scale, again.shift) == (model.scale, model.shift)
+    assert op05_quality.fit(docs, labels.limit(0)) is None
+
+
+# -- 7 personal data
+
+
+def test_personal_data(docs, empty, rows):
+    found = op07_pii.detect(docs).withColumn("b", op07_pii.joined(F.col("base"))).withColumn("s", op07_pii.joined(F.col("spans"))).collect()
+    want = Counter((d, ",".join(f"{k}:{s}:{e}" for k, s, e in brute.personal(t))) for d, t in rows)
+    assert Counter((r["doc_id"], r["b"]) for r in found) == want
+    assert all(set(filter(None, r["b"].split(","))) <= set(r["s"].split(",")) for r in found)
+    assert op07_pii.detect(empty).count() == 0
+
+
+def test_added_spans(spark):
+    texts = {
+        "iban GB82 WEST 1234 5698 7654 32 x": ["iban:5:32"],
+        "iban GB82 WEST 1234 5698 7654 33 x": [],
+        "my ssn 123-45-6789": ["ssn:7:18"],
+        "code 123-45-6789": [],
+        "+1 (269) 555-3296 4524132264652876 und": ["card:18:34"],
+    }
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in op07_pii.detect(frame).withColumn("s", op07_pii.joined(F.array_except("spans", "base"))).collect():
+        assert r["s"] == ",".join(texts[r["text"]])
+
+
+def test_long_digit_runs(spark):
+    frame = spark.createDataFrame([(1, "1 " * 100_000), (2, "a" * 300_000), (3, "+1" + "2" * 50_000), (4, "1.1." * 50_000)], "doc_id long, text string")
+    assert op07_pii.detect(frame).where("n_email + n_card + n_phone > 0").count() == 0
+
+
+# -- 8 nearest neighbours
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(700, 16))
+    vectors[5:40] = vectors[0]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    odd = [(900, None, 1), (950, [0.0] * 16, 1), (1000, [float("nan")] + [1.0] * 15, 1), (1050, [None] + [1.0] * 15, 1), (1100, [float("inf")] * 16, 1), (None, [1.0] * 16, 1), (1150, [1.0], 1)]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score int")
+    out = {}
+    for r in op08_permutation_ann.search(frame).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(out) == set(range(0, 700, 50))
+    norms, hits = np.linalg.norm(vectors, axis=1), []
+    for q, found in out.items():
+        score = vectors @ vectors[q] / (norms * norms[q])
+        score[q] = -9
+        best = np.lexsort((np.arange(700), -np.round(score, 12)))[:5]
+        hits.append(len({v for v, _ in found} & set(best.tolist())) / 5)
+        assert len(found) == 5 and [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+        assert all(s == pytest.approx(score[v], abs=1e-12) for v, s in found)
+    assert np.mean(hits) >= 0.9
+    assert [v for v, _ in out[0]] == [5, 6, 7, 8, 9]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 30])
+def test_few_vectors(spark, n):
+    frame = spark.createDataFrame([(50 * i, [float(i + 1), 1.0]) for i in range(n)], "vec_id long, embedding array<double>")
+    out = op08_permutation_ann.search(frame).groupBy("query_id").count().collect()
+    assert {r["count"] for r in out} == ({min(5, n - 1)} if n > 1 else set()) and len(out) == (n if n > 1 else 0)
+
+
+# -- 9 lines
+
+
+def test_line_dedup(spark, docs, empty, rows):
+    hit, rest = op09_line_dedup.apply(docs, op09_line_dedup.dropped(docs))
+    done = hit.select("doc_id", "__lines", "__dropped", F.sha2("text", 256).alias("h")).collect()
+    mine = Counter((r["doc_id"], r["__lines"], r["__dropped"], r["h"]) for r in done)
+    for r in rest.collect():
+        text = r["text"] or ""
+        mine[r["doc_id"], text.count("\n") + 1, 0, brute.sha(text.encode())] += 1
+    assert mine == Counter(brute.lines(rows))
+    out = op09_line_dedup.dedup(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    assert op09_line_dedup.dedup(empty).count() == 0
+
+
+def test_line_index_levels(spark):
+    index = op09_line_dedup.LineIndex(spark, fanout=2)
+    for batch in range(5):
+        index.add(spark.createDataFrame([(batch * 10 + i, i % 4 + batch, 0) for i in range(6)], "id long, h1 long, h2 long"))
+    assert len(index.runs()) <= 3
+    owners = {r["h1"]: r["owner"] for r in index.owners().collect()}
+    assert owners == {0: 0, 1: 1, 2: 2, 3: 3, 4: 13, 5: 23, 6: 33, 7: 43}
+
+
+# -- 10 packing
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 2)])
+def test_hilbert_curve_is_connected(dims, bits):
+    points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+    keys = op10_packing.hilbert(points, bits)
+    assert sorted(keys.tolist()) == list(range(1 << bits * dims))
+    assert np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(1).max() == 1
+
+
+@pytest.mark.parametrize("size", [4096, 64])
+def test_packing(docs, empty, rows, size):
+    pieces = op10_packing.pack(docs, public.path("word_bpe_49k.json"), size=size, ids=True).collect()
+    whole = Counter()
+    sequences, parts = {}, {}
+    for p in pieces:
+        ids = np.frombuffer(p["ids"], "<u4").tolist()
+        assert len(ids) == p["length"] and brute.crc(ids) == p["ids_crc32"]
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"], p["sequence_length"]))
+        parts.setdefault((p["doc_id"], p["doc_tokens"]), []).append((p["start"], tuple(ids)))
+    for spans in sequences.values():
+        at = 0
+        for offset, length, _ in sorted(spans):
+            assert offset == at
+            at += length
+        assert at == spans[0][2] and (at == size or at & (at - 1) == 0)
+    for (d, t), ids in zip(rows, plain_ids("word_bpe_49k.json", [t for _, t in rows])):
+        whole[d, len(ids)] += len(ids)
+        assert all(s + len(i) <= n and tuple(i) for (e, n), ps in parts.items() if e == d for s, i in ps)
+    assert {k: sum(len(i) for _, i in v) for k, v in parts.items()} == dict(whole)
+    assert op10_packing.pack(empty, public.path("word_bpe_49k.json")).count() == 0
