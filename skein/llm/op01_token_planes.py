@@ -87,7 +87,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bits: boo
     Memory: a slice of texts and one block.
     """
     spark = docs.sparkSession
-    rows = by_doc_id(docs.select("doc_id", "text"), max(session.partitions(spark), 1))
+    rows = by_doc_id(session.documents(docs).select("doc_id", "text"), max(session.partitions(spark), 1))
 
     def blocks(batches):
         context = TaskContext.get()

@@ -43,13 +43,14 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 @functools.cache
-def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest set size of each band, and blocks of each band's scheme. A set's partners are in its band or the ones beside it."""
+def bands(percent: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest set size of each band, and blocks of each band's scheme, for sizes below 2**bits and the band after. A set's partners are in
+    its band or the ones beside it."""
     last, low = [], 1
-    while low < 1 << 40:
+    while low < 2 << bits:
         last.append(low * 100 // percent)
         low = last[-1] + 1
-    last = np.array(last, np.int64)
+    last = np.array([*last, low * 100 // percent], np.int64)
     return last, distance(2 * last, percent) + 1
 
 
@@ -64,8 +65,8 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     A block that is empty in both of two sets agrees too, though it says nothing. A set with so many empty blocks that a
     partner might agree on those alone has keys for them as well; both sets of such a pair then have.
     """
-    last, blocks = bands(percent)
     size = np.array([len(s) for s in sets], np.int64)
+    last, blocks = bands(percent, int(size.max(initial=1)).bit_length())
     band = np.searchsorted(last, size)
     tokens = np.concatenate(sets) if sets else np.zeros(0, U)
     place, value = kernels.mix(tokens ^ U(0x5851F42D4C957F2D)), kernels.mix(tokens + U(0x14057B7EF767814F))
@@ -128,6 +129,18 @@ def _index(k: int, percent: int):
     return run
 
 
+def _narrow(tokens: np.ndarray) -> bytes:
+    """Sorted shingles as 40 bits each: enough to compare two sets, where the chance of a false match is their sizes' product over 2**40."""
+    return np.ascontiguousarray((tokens >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _widened(data: pa.Buffer) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :5] = narrow
+    return wide.reshape(-1).view("<u8")
+
+
 def _members(k: int):
     def run(batches):
         for batch in batches:
@@ -136,7 +149,7 @@ def _members(k: int):
                 names = batch.column("set").slice(first, end - first).to_pylist()
                 pivots = batch.column("pivots").slice(first, end - first).to_pylist()
                 for name, tokens, own in zip(names, sets, pivots):
-                    yield pa.RecordBatch.from_pydict({"pivot": pa.array(own, pa.int64()), "set": pa.array([name] * len(own), pa.int64()), "tokens": pa.array([tokens.tobytes()] * len(own), pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"pivot": pa.array(own, pa.int64()), "set": pa.array([name] * len(own), pa.int64()), "tokens": pa.array([_narrow(tokens)] * len(own), pa.binary())})
 
     return run
 
@@ -199,11 +212,11 @@ def _links(percent: int):
 
         for batch in batches:
             for own, name, tokens in zip(batch.column("pivot").to_pylist(), batch.column("set").to_pylist(), batch.column("tokens")):
-                tokens = np.frombuffer(tokens.as_buffer(), U)
+                tokens = _widened(tokens.as_buffer())
                 if own != pivot:
                     if names:
                         yield done()
-                    pivot, base, names, sizes, apart = own, tokens.copy(), [], [], []
+                    pivot, base, names, sizes, apart = own, tokens, [], [], []
                 names.append(name)
                 sizes.append(len(tokens))
                 apart.append(np.setxor1d(base, tokens, assume_unique=True))
@@ -219,10 +232,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs needs doc_id and text; other columns are ignored. Two documents link when 100 * intersection >= percent * union of their
     sets of k-word shingles. No words, null or empty text: an empty set, linked with nothing; its component is itself.
     Rows with equal sets are linked, rows that share a doc_id are rows of their own. A component's doc_id is null only
-    if all in it are. Shingles and sets are known by 64-bit hashes.
+    if all in it are. Shingles and sets are known by 64-bit hashes,
+    and two sets are compared on 40 bits of each shingle's.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
+    rows = session.documents(docs).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
     members = session.checkpoint(rows.mapInArrow(_sets(k), "id long, row long, n long, set long"))
     index = rows.select("text").mapInArrow(_index(k, percent), "key long, set long")
     listed = index.withColumn("pivot", F.min("set").over(Window.partitionBy("key")))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import kernels
+from skein.llm import kernels, session
 
 U = np.uint64
 #: Labelled documents that the model is fitted on, at most; a fifth of them only calibrate it.
@@ -180,7 +180,7 @@ def judge(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
     """
     if model is not None:
         model = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names = session.documents(docs).columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):

@@ -108,7 +108,7 @@ def dropped(docs: DataFrame, batches: int = BATCHES, min_length: int = MIN_LENGT
 
 def apply(docs: DataFrame, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs' rows that lose lines, cut, with `__lines` they had and `__dropped`; and docs' other rows as they are. Only the former (and a few more) move."""
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("__text", F.xxhash64("text"))
+    keyed = session.documents(docs).withColumn("__id", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("__text", F.xxhash64("text"))
     lost = lost.withColumnRenamed("id", "__id").withColumnRenamed("row", "__text").withColumnRenamed("drop", "__drop")
     near, far = session.may_contain(keyed, "__id", lost)
     near = near.join(lost, ["__id", "__text"], "left").drop("__id", "__text")

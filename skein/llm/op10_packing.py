@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SEQUENCE,
     """
     spark = docs.sparkSession
     shards = session.partitions(spark)
-    docs = docs.select("doc_id", "text")
+    docs = session.documents(docs).select("doc_id", "text")
     some = docs.where(F.abs(F.xxhash64("doc_id", "text") % SAMPLE) == 0)
     bounds = some.mapInArrow(_encoded(tokenizer, end_id, None), "key long").agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], 10_000).alias("b")).first()["b"] if shards > 1 else None
     cuts = np.unique(np.array(bounds or [], np.int64))

@@ -23,7 +23,7 @@ from skein.llm import kernels, session
 
 U = np.uint64
 #: Windows handled at once; longer texts are walked in overlapping parts.
-PART = 1 << 19
+PART = 1 << 18
 #: Size of the fixed filter of repeated prefixes, in bits: 8 MB, whatever the corpus.
 FILTER_BITS = 26
 NULL_ID = -(1 << 63)
@@ -32,7 +32,7 @@ _BASE = 0xD1342543DE82EF95
 
 def keyed(docs: DataFrame) -> DataFrame:
     """id (null doc_id as the smallest), row (the text's hash, for rows that share a doc_id) and text."""
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
+    return session.documents(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
 
 
 def _range_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -26,6 +26,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch of whole texts. Spark's own bound of 10,000 lets a batch of long texts outgrow a worker.
+BATCH_ROWS = 1500
+
+
+def documents(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches held to BATCH_ROWS rows, for stages that take whole texts to Python workers."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 from skein.llm import kernels
 
 #: Distinct pieces that a worker keeps; past that it keeps those seen in more than one slice.
-CACHE = 600_000
-SLICE = 4 << 20
+CACHE = 400_000
+SLICE = 2 << 20
 _plain = np.zeros(256, bool)
 _plain[0x21:0x7F] = True
 _alnum = np.zeros(256, bool)
