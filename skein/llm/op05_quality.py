@@ -1,6 +1,6 @@
 """Quality rules: counts that reject a document outright, then a hashed n-gram logistic regression with calibrated probabilities.
 
-The model is linear in the frequencies of hashed word 1- and 2-grams and byte 3- and 5-grams. It is fitted on the driver
+The model is linear in the frequencies of hashed word 1- and 2-grams and byte 4-grams. It is fitted on the driver
 from at most SAMPLE labelled documents, chosen by hash of doc_id; that bound is a parameter, and the only one here. Every document is scored,
 in Arrow batches, from its whole text. Weights are rounded to integers, so that a document's score doesn't depend on the batch.
 """
@@ -20,8 +20,8 @@ U = np.uint64
 #: Labelled documents that the model is fitted on, at most; a fifth of them only calibrate it.
 SAMPLE = 1500
 #: Buckets of each kind of n-gram.
-BUCKET_BITS = 15
-KINDS = ("word 1-grams", "word 2-grams", "byte 3-grams", "byte 5-grams")
+BUCKET_BITS = 14
+KINDS = ("word 1-grams", "word 2-grams", "byte 4-grams")
 UNIT = 1 << 20
 #: Documents are kept from this calibrated probability of quality on.
 KEEP = 0.5
@@ -78,7 +78,7 @@ def features(data: np.ndarray, at: np.ndarray):
     grams, first = kernels.grams(tokens, row, 2)
     yield (grams >> shift).astype(np.int64), np.searchsorted(row[first], rows)
     wide = data.astype(U)
-    for n in (3, 5):
+    for n in (4,):
         if len(data) < n:
             yield np.zeros(0, np.int64), np.zeros(len(at), np.int64)
             continue
@@ -137,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 1
     held = np.arange(len(y)) % 5 == 4 if min(y.sum(), len(y) - y.sum()) >= 20 else np.zeros(len(y), bool)
     size = len(KINDS) << BUCKET_BITS
     train = np.flatnonzero(~held)
+    del got
     col, value = np.concatenate([cols[i] for i in train]), np.concatenate([values[i] for i in train])
     owner = np.repeat(np.arange(len(train), dtype=np.int32), [len(cols[i]) for i in train])
     # frequencies are small: columns are scaled to about unit size, and adaptive steps do the rest
@@ -147,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 1
     w, b = np.zeros(size), 0.0
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[col], len(train)) + b, -50, 50)))
-        g = (p - y[train]) * balance / len(train)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w.astype(np.float32)[col], len(train)) + b, -50, 50)))
+        g = ((p - y[train]) * balance / len(train)).astype(np.float32)
         grad = np.append(np.bincount(col, value * g[owner], size) + penalty * w / np.sqrt(size), g.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-12) * 0.05
