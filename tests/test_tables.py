@@ -150,3 +150,14 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["lang", "label", "n", "n_docs"]
+
+
+def test_decoded_predictions(spark):
+    from skein.operators import dataset
+
+    pieces = ["[CLS]", "lepid", "##optera", "is", "[SEP]"]
+    rows = [(1, 0, i, p, 2 * i, 2 * i + 2, [0.0, 3.0] if "p" in p and "#" not in p else [3.0, 0.0]) for i, p in enumerate(pieces)]
+    frame = spark.createDataFrame(rows, "doc_id long, segment int, position int, string string, start int, end int, logits array<double>")
+    got = dataset.decoded(frame, ["O", "B-X"]).first()["tokens"]
+    assert [(t["string"], t["prediction"], t["offset"]["start"], t["offset"]["end"]) for t in got] == [("lepidoptera", "B-X", 2, 6), ("is", "O", 6, 8)]
+    assert got[0]["prob"] == pytest.approx(1 / (1 + np.exp(-3)))
