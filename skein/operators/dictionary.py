@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,11 +153,10 @@ def tagged(df: DataFrame, tokens: str, terms: DataFrame, cutoff: float = CUTOFF)
     shared = df.sparkSession.sparkContext.broadcast(dict(sorted(lists.items())))
     made: list = []
 
-    @F.pandas_udf(f"array<{schema.TOKEN}>")
-    def retag(column: pd.Series) -> pd.Series:
+    @F.arrow_udf(f"array<{schema.TOKEN}>")
+    def retag(column: pa.Array) -> pa.Array:
         if not made:
             made.extend((label, Matcher(own, cutoff)) for label, own in shared.value.items())
-        plain = lambda t: {**t, "offset": dict(t["offset"])}
-        return pd.Series([None if doc is None else tag_tokens([plain(t) for t in doc], made) for doc in column])
+        return pa.array([None if doc is None else tag_tokens(doc, made) for doc in column.to_pylist()], column.type)
 
     return df.withColumn(tokens, retag(tokens))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +13,23 @@ SPAN = "array<struct<string:string,offset:struct<start:int,end:int>>>"
 
 
 def token_spans(text: Column) -> Column:
-    """Words and signs with their offsets in code points; no tokens for null. One pass over each text, in Arrow batches."""
+    """Words and signs with their offsets in code points; no tokens for null. One pass over each text, Arrow in and out."""
 
-    @F.pandas_udf(SPAN)
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPAN)
+    def spans(texts: pa.Array) -> pa.Array:
         import regex
 
         pattern = regex.compile(TOKEN_PATTERN.replace(r"\s", r"\x09-\x0D\x20"), regex.V0)
-        for texts in batches:
-            yield pd.Series([[{"string": m.group(), "offset": {"start": m.start(), "end": m.end()}} for m in pattern.finditer(t or "")] for t in texts])
+        strings, starts, ends, bounds = [], [], [], [0]
+        for t in texts.to_pylist():
+            for m in pattern.finditer(t or ""):
+                strings.append(m.group())
+                starts.append(m.start())
+                ends.append(m.end())
+            bounds.append(len(strings))
+        offset = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
+        token = pa.StructArray.from_arrays([pa.array(strings, pa.string()), offset], ["string", "offset"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), token)
 
     return spans(text)
 

@@ -22,7 +22,7 @@ def typed(spans, prediction: str = "O"):
 
 @query(f"SELECT doc_id, {_N} AS n_tokens, CAST(coalesce(list_sum(list_transform({_TOKENS}, lambda x: length(x))), 0) AS BIGINT) AS n_chars FROM documents")
 def token_spans_count(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", tokens.token_spans(F.col("text")).alias("t"))
+    docs = catalogue.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tokens.token_spans(F.col("text")).alias("t"))
     chars = F.aggregate(F.transform("t", lambda t: (t["offset"]["end"] - t["offset"]["start"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return docs.select("doc_id", F.size("t").alias("n_tokens"), chars.alias("n_chars"))
 
@@ -41,7 +41,7 @@ def detokenise_roundtrip(spark, d):
 
 def _pieces(spark, d) -> DataFrame:
     """Words of conversations cut at four characters, later pieces marked ##, with a last [SEP]."""
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tokens.token_spans(F.col("text")).alias("t"))
+    rows = catalogue.spread(table(spark, d, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tokens.token_spans(F.col("text")).alias("t"))
     words = rows.select("doc_id", F.posexplode("t").alias("w", "t"))
     cut = F.sequence(F.lit(0), ((F.length("t.string") - 1) / 4).cast("int"))
     pieces = words.select("doc_id", "w", "t", F.explode(cut).alias("k"))
