@@ -98,7 +98,7 @@ def _packed(values: pa.Array) -> pa.Array:
         ids = np.frombuffer(value.as_buffer(), "<u4")
         wide = len(ids) and ids.max() >= 1 << 16
         octets = ids.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(ids), -1)
-        out.append((b"\x04" if wide else b"\x02") + pack.compress(np.ascontiguousarray(octets.T).tobytes()))
+        out.append((b"\x04" if wide else b"\x02") + pack.compress(octets.T.tobytes()))
     return pa.array(out, pa.binary())
 
 

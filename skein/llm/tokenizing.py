@@ -1,7 +1,7 @@
 """Whole texts to token ids with a public vocabulary file.
 
-A text is cut before single spaces that stand between two plain characters, and before a sign that follows a
-letter or digit. Both kinds of public vocabulary start a new token there whatever stands around, so the ids of a text are those of its pieces in turn, and each
+A text is cut before single spaces and around single line feeds that stand between two plain characters, and before a sign that
+follows a letter or digit. Both kinds of public vocabulary start a new token there whatever stands around, so the ids of a text are those of its pieces in turn, and each
 distinct piece goes through the tokenizer once while it stays in the worker's cache.
 """
 
@@ -16,8 +16,8 @@ import pyarrow as pa
 from skein.llm import kernels
 
 #: Distinct pieces that a worker keeps; past that it keeps those seen in more than one slice.
-CACHE = 400_000
-SLICE = 2 << 20
+CACHE = 500_000
+SLICE = 4 << 20
 _plain = np.zeros(256, bool)
 _plain[0x21:0x7F] = True
 _alnum = np.zeros(256, bool)
@@ -89,7 +89,11 @@ class Encoder:
             safe = np.empty(len(here), bool)
             safe[1:] = letter[:-1]
             safe[0] = False
-            cut[1:-2] |= (here == 0x20) & (_plain[before] | safe) & (_plain[after] | _lead[after])
+            between = (_plain[before] | safe) & (_plain[after] | _lead[after])
+            cut[1:-2] |= (here == 0x20) & between
+            line = (here == 0x0A) & between  # a line feed alone is a token, or none
+            cut[1:-2] |= line
+            cut[2:-1] |= line
         cut[at] = True
         cut = np.flatnonzero(cut)
         texts = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(data))
