@@ -9,7 +9,9 @@
    the shingles in which each differs from its pivot. From those differences, mostly short, the distances among the
    pivot's sets follow exactly: those near enough to the pivot are linked through it, those whose distances to the pivot are
    too far apart can't be linked, and the others are counted on the differences alone.
-4. The links, at most one per set and pivot, are joined into classes.
+   A pivot with very many sets has them dealt over several tasks, each of which gets the pivot, and each set not linked with the
+   pivot passes by every one of those tasks.
+4. The links, about one per set and pivot, are joined into classes.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from skein.llm import kernels, session
 
 U = np.uint64
 _NULL_ID = -(1 << 63)
+#: Sets of one pivot in a task, about; more are dealt over several.
+PART = 1000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -130,8 +134,8 @@ def _index(k: int, percent: int):
 
 
 def _narrow(tokens: np.ndarray) -> bytes:
-    """Sorted shingles as 40 bits each: enough to compare two sets, where the chance of a false match is their sizes' product over 2**40."""
-    return np.ascontiguousarray((tokens >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """Values below 2**40, five bytes each."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _widened(data: pa.Buffer) -> np.ndarray:
@@ -142,6 +146,8 @@ def _widened(data: pa.Buffer) -> np.ndarray:
 
 
 def _members(k: int):
+    """A row for each pivot of a set, with its shingles cut to 40 bits, in one of the pivot's parts; the pivot itself in all."""
+
     def run(batches):
         for batch in batches:
             for first, end, data, at in kernels.slices(batch.column("text")):
@@ -149,7 +155,11 @@ def _members(k: int):
                 names = batch.column("set").slice(first, end - first).to_pylist()
                 pivots = batch.column("pivots").slice(first, end - first).to_pylist()
                 for name, tokens, own in zip(names, sets, pivots):
-                    yield pa.RecordBatch.from_pydict({"pivot": pa.array(own, pa.int64()), "set": pa.array([name] * len(own), pa.int64()), "tokens": pa.array([_narrow(tokens)] * len(own), pa.binary())})
+                    rows = [(p["pivot"], part, p["parts"]) for p in own for part in (range(p["parts"]) if p["pivot"] == name else [name % p["parts"]])]
+                    for begin in range(0, len(rows), 4096):
+                        some = rows[begin : begin + 4096]
+                        columns = [*zip(*some), [name] * len(some), [_narrow(tokens >> U(24))] * len(some)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["pivot", "part", "parts", "set", "tokens"])
 
     return run
 
@@ -158,75 +168,99 @@ def similar(inner, outer, percent: int):
     return 100 * inner >= percent * outer
 
 
-def group_links(names: list[int], sizes: np.ndarray, apart: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (root, set) that span the classes among a pivot's sets. The pivot comes first; apart: the shingles in which each differs from it."""
-    count = len(names)
-    root = np.arange(count)
+def _compared(percent: int):
+    """Over (pivot, part, parts, set, tokens), the pivot's own row first: each set's size, the shingles in which it differs from the pivot,
+    and whether the two are linked. Memory: one pivot's set."""
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def run(batches):
+        at, base = None, None
+        for batch in batches:
+            out = []
+            for pivot, part, parts, name, tokens in zip(*(batch.column(c).to_pylist() for c in ("pivot", "part", "parts", "set")), batch.column("tokens")):
+                tokens = _widened(tokens.as_buffer())
+                if (pivot, part) != at:
+                    at, base = (pivot, part), tokens
+                if name == pivot:
+                    continue
+                away = np.setxor1d(base, tokens, assume_unique=True)
+                both = len(base) + len(tokens)
+                out.append((pivot, part, parts, name, len(tokens), _narrow(away), bool(similar((both - len(away)) // 2, (both + len(away)) // 2, percent))))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["pivot", "part", "parts", "set", "n", "away", "near"])
+
+    return run
 
-    away = np.array([len(a) for a in apart], np.int64)
-    near = similar((sizes + sizes[0] - away) // 2, (sizes + sizes[0] + away) // 2, percent)
-    root[near] = 0
-    rest = np.flatnonzero(~near)
-    if len(rest):
-        owner = np.repeat(np.arange(count), away)
-        tokens = np.concatenate(apart)
+
+class Part:
+    """A pivot's sets in one task, by their differences from it; links with sets that pass by."""
+
+    def __init__(self, pivot: int, names: list[int], sizes: list[int], apart: list[np.ndarray], near: list[bool], percent: int):
+        self.percent, self.names = percent, [pivot, *names]
+        self.root = np.array([0, *(0 if x else i + 1 for i, x in enumerate(near))])
+        self.sizes, self.away = np.array([0, *sizes], np.int64), np.array([0, *map(len, apart)], np.int64)
+        owner = np.repeat(np.arange(len(self.names)), self.away)
+        tokens = np.concatenate(apart) if apart else np.zeros(0, "<u8")
         by = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[by], owner[by]
-        for i in rest.tolist():
-            most = distance(sizes + sizes[i], percent)
-            # the triangle inequality on distances to the pivot, then sizes; a pair of two from `rest` is met once
-            other = np.abs(away - away[i]) <= most
-            other &= np.abs(sizes - sizes[i]) <= most
-            other[i] = False
-            other[rest[rest < i]] = False
-            if not other.any():
-                continue
-            low, high = np.searchsorted(tokens, apart[i], "left"), np.searchsorted(tokens, apart[i], "right")
-            n = high - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            shared = np.bincount(owner[at], minlength=count)
-            differ = away + away[i] - 2 * shared
-            other &= similar((sizes + sizes[i] - differ) // 2, (sizes + sizes[i] + differ) // 2, percent)
-            for j in np.flatnonzero(other).tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-    return [(names[find(i)], names[i]) for i in range(count) if find(i) != i]
-
-
-def _links(percent: int):
-    """Over (pivot, set, tokens) sorted by pivot, the pivot's own row first. Memory: one pivot's set and its sets' differences from it."""
+        self.tokens, self.owner = tokens[by], owner[by]
 
-    def run(batches):
-        pivot, base, names, sizes, apart = None, None, [], [], []
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
 
-        def done():
-            links = group_links(names, np.array(sizes, np.int64), apart, percent) if len(names) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+    def links(self, name: int, size: int, apart: np.ndarray) -> list[tuple[int, int]]:
+        """Links that join a set to the classes here that it is linked with, and those to each other."""
+        most = distance(self.sizes + size, self.percent)
+        # the triangle inequality on distances to the pivot, then sizes, before anything is counted
+        other = (np.abs(self.away - len(apart)) <= most) & (np.abs(self.sizes - size) <= most)
+        other[0] = False
+        if not other.any():
+            return []
+        low, high = np.searchsorted(self.tokens, apart, "left"), np.searchsorted(self.tokens, apart, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        differ = self.away + len(apart) - 2 * np.bincount(self.owner[at], minlength=len(self.names))
+        other &= similar((self.sizes + size - differ) // 2, (self.sizes + size + differ) // 2, self.percent)
+        out, mine = [], None
+        for j in np.flatnonzero(other).tolist():
+            r = self.find(j)
+            if mine is None:
+                mine = r
+                out.append((self.names[r], name))
+            elif r != mine:
+                self.root[max(r, mine)] = min(r, mine)
+                out.append((self.names[r], self.names[mine]))
+                mine = min(r, mine)
+        return [(a, b) for a, b in out if a != b]
+
+
+def _rest_links(percent: int):
+    """Over (pivot, part, kind, set, n, away, near): kind 0 are the part's own sets, kind 1 the pivot's sets that aren't linked with it. Memory: the
+    part's own differences."""
 
+    def run(batches):
+        at, own, ready = None, ([], [], [], []), None
         for batch in batches:
-            for own, name, tokens in zip(batch.column("pivot").to_pylist(), batch.column("set").to_pylist(), batch.column("tokens")):
-                tokens = _widened(tokens.as_buffer())
-                if own != pivot:
-                    if names:
-                        yield done()
-                    pivot, base, names, sizes, apart = own, tokens, [], [], []
-                names.append(name)
-                sizes.append(len(tokens))
-                apart.append(np.setxor1d(base, tokens, assume_unique=True))
-        if names:
-            yield done()
+            out = []
+            for pivot, part, kind, name, n, near, away in zip(*(batch.column(c).to_pylist() for c in ("pivot", "part", "kind", "set", "n", "near")), batch.column("away")):
+                if (pivot, part) != at:
+                    at, own, ready = (pivot, part), ([], [], [], []), None
+                away = _widened(away.as_buffer())
+                if kind == 0:
+                    for column, value in zip(own, (name, n, away, near)):
+                        column.append(value)
+                    continue
+                ready = ready or Part(pivot, *own, percent)
+                out += ready.links(name, n, away)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return run
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs: the size of its set, and the smallest doc_id that links lead to.
 
     docs needs doc_id and text; other columns are ignored. Two documents link when 100 * intersection >= percent * union of their
@@ -241,14 +275,24 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     index = rows.select("text").mapInArrow(_index(k, percent), "key long, set long")
     listed = index.withColumn("pivot", F.min("set").over(Window.partitionBy("key")))
     pairs = session.checkpoint(listed.where("pivot <> set").select("pivot", "set").distinct())
-    pairs = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("set")).distinct())
-    wanted = pairs.groupBy("set").agg(F.collect_set("pivot").alias("pivots"))
+    # a pivot and its number of parts; the pivot goes to all of them
+    parts = session.checkpoint(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")))
+    asked = pairs.join(parts, "pivot").unionByName(parts.select("pivot", F.col("pivot").alias("set"), "parts"))
+    wanted = asked.groupBy("set").agg(F.collect_set(F.struct("pivot", "parts")).alias("pivots"))
     chosen = members.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "row")).alias("of")).select("set", "of.id", "of.row")
     wanted = session.checkpoint(wanted.join(chosen, "set"))
     near, _ = session.may_contain(rows, "id", wanted)
-    compared = near.join(wanted, ["id", "row"]).select("set", "pivots", "text").mapInArrow(_members(k), "pivot long, set long, tokens binary")
-    compared = compared.repartition(session.partitions(spark), "pivot").sortWithinPartitions("pivot", F.col("set") != F.col("pivot"), "set")
-    links = compared.mapInArrow(_links(percent), "a long, b long")
+    compared = near.join(wanted, ["id", "row"]).select("set", "pivots", "text").mapInArrow(_members(k), "pivot long, part int, parts int, set long, tokens binary")
+    compared = compared.repartition(session.partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", F.col("set") != F.col("pivot"), "set")
+    path = session.new_path(spark, "compared")
+    compared.mapInArrow(_compared(percent), "pivot long, part int, parts int, set long, n long, away binary, near boolean").write.parquet(path)
+    compared = spark.read.parquet(path)
+    rest = compared.where("not near")
+    own = compared.join(rest.select("pivot").distinct(), "pivot", "left_semi").withColumn("kind", F.lit(0))
+    passing = rest.withColumn("kind", F.lit(1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    order = ["pivot", "part", "kind", "set", "n", "away", "near"]
+    meet = own.select(*order).unionByName(passing.select(*order)).repartition(session.partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", "kind", "set")
+    links = compared.where("near").select(F.col("pivot").alias("a"), F.col("set").alias("b")).unionByName(meet.mapInArrow(_rest_links(percent), "a long, b long"))
     roots = session.classes(links).select(F.col("node").alias("set"), "root")
     placed = members.join(roots, "set", "left").withColumn("class", F.coalesce("root", "set"))
     least = placed.where("n > 0").groupBy("class").agg(F.min(F.nullif("id", F.lit(_NULL_ID))).alias("least"))

@@ -38,7 +38,7 @@ def test_window_argmin_is_leftmost():
 def test_pieces_give_the_ids_of_whole_texts(name, rows):
     import pyarrow as pa
 
-    texts = [t for _, t in rows] + ["", " a b", "a  b", "x  y z", "é è", "<|endoftext|> a", "é ́x it's we'll", "a×, ×,b ÷!", "İ ǅ Σας", "\x00 \x01a"]
+    texts = [t for _, t in rows] + ["", " a b", "a  b", "x  y z", "é è", "<|endoftext|> a", "é ́x it's we'll", "a×, ×,b ÷!", "İ ǅ Σας", "\x00 \x01a", "a\nb", "a.\nB c\n\nd", "é\né\nx", "\na", "a\n", "x\r\ny", "a \nb", "a\n b", "a\u00a0\nb\u2003c"]
     want = plain_ids(name, texts)
     out = []
     for _, _, ids, at in tokenizing.encode(public.path(name), pa.array(texts), 2):
@@ -166,7 +166,7 @@ def test_linked_sets_share_a_block(percent):
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
-def test_group_links_equal_all_pairs():
+def test_links_in_parts_equal_all_pairs():
     rng = np.random.default_rng(3)
     for _ in range(20):
         base = np.sort(rng.choice(10**6, 60, replace=False)).astype(np.uint64)
@@ -175,18 +175,26 @@ def test_group_links_equal_all_pairs():
             own = sets[rng.integers(len(sets))].copy()
             own[rng.choice(len(own), rng.integers(0, 9), replace=False)] = rng.choice(10**6, 1)[0]
             sets.append(np.unique(own))
-        names = list(range(len(sets)))
-        links = op03_jaccard_join.group_links(names, np.array([len(s) for s in sets]), [np.setxor1d(base, s) for s in sets], 80)
-        root = {b: a for a, b in links}
-        mine = [root.get(i, i) for i in names]
-        want = list(names)
-        for i in names:
-            for j in range(i):
-                n = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
-                    a, b = min(want[i], want[j]), max(want[i], want[j])
-                    want = [a if w == b else w for w in want]
-        assert mine == want
+        alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        apart, near = [np.setxor1d(base, s) for s in sets], [bool(alike(base, s)) for s in sets]
+        links = [(0, i) for i in range(1, len(sets)) if near[i]]
+        for part in range(3):
+            mine = [i for i in range(1, len(sets)) if i % 3 == part]
+            held = op03_jaccard_join.Part(0, mine, [len(sets[i]) for i in mine], [apart[i] for i in mine], [near[i] for i in mine], 80)
+            links += [link for i in range(1, len(sets)) if not near[i] for link in held.links(i, len(sets[i]), apart[i])]
+        both = []
+        for pairs in (links, [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]):
+            root = list(range(len(sets)))
+            for a, b in pairs:
+                a, b = min(root[a], root[b]), max(root[a], root[b])
+                root = [a if r == b else r for r in root]
+            both.append(root)
+        assert both[0] == both[1]
+
+
+@pytest.mark.parametrize("part", [1, 3])
+def test_jaccard_join_in_parts(docs, rows, part):
+    assert got(op03_jaccard_join.join(docs, 2, 60, part=part), "doc_id", "n_shingles", "component_id") == Counter(brute.components(rows, 2, 60))
 
 
 def test_classes(spark):
