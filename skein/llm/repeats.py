@@ -93,8 +93,22 @@ def _blocks(split: Callable, width: int, prefix: int, repeated: Broadcast):
                 tokens, bounds = split(data, at)
                 for h, row, start, _, count, block, _ in suffixes(tokens, bounds, width, prefix):
                     keep = np.flatnonzero(_has(bits, h))
-                    if len(keep):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[keep].view(np.int64), ids[first:end][row[keep]], keys[first:end][row[keep]], start[keep], count[keep].astype(np.int32), block[keep].view(np.int64))], ["h", "id", "row", "start", "count", "block"])
+                    if not len(keep):
+                        continue
+                    # a text that repeats itself has one row for all places of a block
+                    h, row, start, count, block = h[keep], row[keep], start[keep], count[keep], block[keep]
+                    by = np.lexsort((start, block, h, row))
+                    h, row, start, count, block = h[by], row[by], start[by], count[by], block[by]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (block[1:] != block[:-1]) | (row[1:] != row[:-1])
+                    at = np.flatnonzero(new)
+                    own, text = ids[first:end][row[at]], keys[first:end][row[at]]
+                    size = np.diff(np.append(at, len(h)))
+                    later = np.ones(len(h), bool)
+                    later[at] = False
+                    more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32), mask=np.append(size == 1, False)), pa.array(start[later]))
+                    columns = [pa.array(x) for x in (h[at].view(np.int64), own, text, count[at].astype(np.int32), block[at].view(np.int64), start[at], _place(own, text, start[at]).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*columns, more], ["h", "id", "row", "count", "block", "start", "place", "more"])
 
     return run
 
@@ -108,12 +122,6 @@ def _place(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return kernels.mix(ids.view(U) ^ kernels.mix(rows.view(U) ^ kernels.mix(starts.view(U))))
 
 
-def _places(batches):
-    for batch in batches:
-        place = _place(*(batch.column(c).to_numpy() for c in ("id", "row", "start")))
-        yield pa.RecordBatch.from_arrays([pa.array((place >> U(64 - FILTER_BITS)).astype(np.int64))], ["slot"])
-
-
 def _windows(split: Callable, width: int, prefix: int, wanted: Broadcast):
     """The windows of the blocks that stand for their leaves."""
 
@@ -211,23 +219,32 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     places = docs.select("id", "text").mapInArrow(_prefixes(split, width, prefix), "h long, id long").groupBy("h")
     shared = places.agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b") if earlier else places.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = spark.sparkContext.broadcast(bitmap(shared, F.shiftrightunsigned("h", 64 - FILTER_BITS), FILTER_BITS))
-    blocks = docs.mapInArrow(_blocks(split, width, prefix, repeated), "h long, id long, row long, start long, count int, block long")
-    leaf = Window.partitionBy("h", "block")
-    blocks = blocks.repartition(session.partitions(spark), "h")
-    blocks = blocks.withColumn("several", F.min("block").over(Window.partitionBy("h")) < F.max("block").over(Window.partitionBy("h")))
-    blocks = blocks.withColumn("whole", F.col("id") > F.min("id").over(leaf) if earlier else F.count(F.lit(1)).over(leaf) > 1)
-    blocks = blocks.withColumn("stands", F.col("several") & (F.row_number().over(leaf.orderBy("id", "row", "start")) == 1))
     path = session.new_path(spark, "blocks")
-    blocks.where("whole or several").drop("several").write.parquet(path)
+    docs.mapInArrow(_blocks(split, width, prefix, repeated), "h long, id long, row long, count int, block long, start long, place long, more array<long>").write.parquet(path)
     blocks = spark.read.parquet(path)
-    places = blocks.where("stands").select("id", "row", "start").mapInArrow(_places, "slot long")
-    wanted = spark.sparkContext.broadcast(bitmap(places, F.col("slot"), FILTER_BITS))
-    leaves = docs.mapInArrow(_windows(split, width, prefix, wanted), "h long, id long, block long, lead int, windows array<int>")
-    leaves = leaves.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "block")
-    inner = leaves.mapInArrow(_repeats(width, earlier), "h long, block long, from long, to long").distinct()
-    whole = blocks.where("whole").select("id", "row", F.col("start"), (F.col("start") + F.col("count") - 1 + width).alias("end"))
-    part = blocks.where("not whole").join(inner, ["h", "block"]).select("id", "row", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
-    ranges = whole.unionByName(part)
+    # leaves: a row for each different block, whatever the number of its copies
+    if earlier:
+        leaves = blocks.groupBy("h", "block").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("most"))
+        leaves = leaves.select("h", "block", "first.place", F.col("first.id").alias("least"), (F.col("first.id") < F.col("most")).alias("copied"))
+    else:
+        leaves = blocks.groupBy("h", "block").agg(F.min("place").alias("place"), F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).alias("n"))
+        leaves = leaves.select("h", "block", "place", (F.col("n") > 1).alias("copied"))
+    of_prefix = Window.partitionBy("h")
+    leaves = session.checkpoint(leaves.withColumn("several", F.min("block").over(of_prefix) < F.max("block").over(of_prefix)))
+    slots = leaves.where("several").select(F.shiftrightunsigned("place", 64 - FILTER_BITS).alias("slot"))
+    wanted = spark.sparkContext.broadcast(bitmap(slots, F.col("slot"), FILTER_BITS))
+    windows = docs.mapInArrow(_windows(split, width, prefix, wanted), "h long, id long, block long, lead int, windows array<int>")
+    windows = windows.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "block")
+    inner = windows.mapInArrow(_repeats(width, earlier), "h long, block long, from long, to long")
+    inner = inner.groupBy("h", "block").agg(F.collect_set(F.struct("from", "to")).alias("inner"))
+    leaves = leaves.join(inner, ["h", "block"], "left").where(F.col("copied") | F.col("inner").isNotNull()).drop("place", "several")
+    hit = blocks.drop("place").join(leaves, ["h", "block"])
+    whole = F.col("id") > F.col("least") if earlier else F.col("copied")
+    every = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("count") - 1 + width).cast("long").alias("to")))
+    hit = hit.select("id", "row", "start", "more", F.when(whole, every).otherwise(F.col("inner")).alias("inner")).where("inner is not null")
+    starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<bigint>")))
+    ranges = hit.select("id", "row", F.explode(starts).alias("s"), "inner").select("id", "row", "s", F.explode("inner").alias("r"))
+    ranges = ranges.select("id", "row", (F.col("s") + F.col("r.from")).alias("start"), (F.col("s") + F.col("r.to")).alias("end"))
     return session.checkpoint(ranges.groupBy("id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
