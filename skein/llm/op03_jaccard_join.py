@@ -9,7 +9,7 @@
    the shingles in which each differs from its pivot. From those differences, mostly short, the distances among the
    pivot's sets follow exactly: those near enough to the pivot are linked through it, those whose distances to the pivot are
    too far apart can't be linked, and the others are counted on the differences alone.
-   A pivot with very many sets has them dealt over several tasks, each of which gets the pivot, and each set not linked with the
+   A pivot with more than PART sets has them dealt over several tasks, each of which gets the pivot, and each set not linked with the
    pivot passes by every one of those tasks.
 4. The links, about one per set and pivot, are joined into classes.
 """
@@ -169,25 +169,49 @@ def similar(inner, outer, percent: int):
 
 
 def _compared(percent: int):
-    """Over (pivot, part, parts, set, tokens), the pivot's own row first: each set's size, the shingles in which it differs from the pivot,
-    and whether the two are linked. Memory: one pivot's set."""
+    """Over (pivot, part, parts, set, tokens), the pivot's own row first. A pivot with one part is settled here: kind -1, links of pivot (a set)
+    and set. Of others, kind 0: each set's size, the shingles in which it differs from the pivot, and whether the two are linked.
+    Memory: one pivot's set, and the differences of a part's sets where it is the only one.
+    """
+
+    def settled(pivot, held):
+        names, sizes, apart, near = zip(*held)
+        links = [(pivot, name) for name, linked in zip(names, near) if linked]
+        if not all(near):
+            own = Part(pivot, names, sizes, apart, near, percent)
+            for name, size, away, linked in held:
+                if not linked:
+                    links += own.links(name, size, away)
+        return [(-1, a, 0, 1, b, 0, None, True) for a, b in links]
 
     def run(batches):
-        at, base = None, None
+        at, base, held = None, None, []
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+
+        def rows(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["kind", "pivot", "part", "parts", "set", "n", "away", "near"])
+
         for batch in batches:
             out = []
             for pivot, part, parts, name, tokens in zip(*(batch.column(c).to_pylist() for c in ("pivot", "part", "parts", "set")), batch.column("tokens")):
                 tokens = _widened(tokens.as_buffer())
                 if (pivot, part) != at:
-                    at, base = (pivot, part), tokens
+                    if held:
+                        out += settled(at[0], held)
+                    at, base, held = (pivot, part), tokens, []
                 if name == pivot:
                     continue
                 away = np.setxor1d(base, tokens, assume_unique=True)
                 both = len(base) + len(tokens)
-                out.append((pivot, part, parts, name, len(tokens), _narrow(away), bool(similar((both - len(away)) // 2, (both + len(away)) // 2, percent))))
+                near = bool(similar((both - len(away)) // 2, (both + len(away)) // 2, percent))
+                if parts == 1:
+                    held.append((name, len(tokens), away, near))
+                else:
+                    out.append((0, pivot, part, parts, name, len(tokens), _narrow(away), near))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["pivot", "part", "parts", "set", "n", "away", "near"])
+                yield rows(out)
+        if held and (out := settled(at[0], held)):
+            yield rows(out)
 
     return run
 
@@ -285,10 +309,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> Da
     compared = near.join(wanted, ["id", "row"]).select("set", "pivots", "text").mapInArrow(_members(k), "pivot long, part int, parts int, set long, tokens binary")
     compared = compared.repartition(session.partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", F.col("set") != F.col("pivot"), "set")
     path = session.new_path(spark, "compared")
-    compared.mapInArrow(_compared(percent), "pivot long, part int, parts int, set long, n long, away binary, near boolean").write.parquet(path)
+    compared.mapInArrow(_compared(percent), "kind int, pivot long, part int, parts int, set long, n long, away binary, near boolean").write.parquet(path)
     compared = spark.read.parquet(path)
     rest = compared.where("not near")
-    own = compared.join(rest.select("pivot").distinct(), "pivot", "left_semi").withColumn("kind", F.lit(0))
+    own = compared.where("kind = 0").join(rest.select("pivot").distinct(), "pivot", "left_semi")
     passing = rest.withColumn("kind", F.lit(1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     order = ["pivot", "part", "kind", "set", "n", "away", "near"]
     meet = own.select(*order).unionByName(passing.select(*order)).repartition(session.partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", "kind", "set")
