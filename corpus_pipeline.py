@@ -38,10 +38,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of docs in sequences of 4096 tokens, with their ids."""
+    """The pieces of docs in sequences of 4096 tokens, with their ids. Workers that ran the stages before have less memory left: smaller slices and cache."""
     import public_tokenizers
 
-    return op10_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
+    return op10_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True, slices=1 << 20, cache=150_000)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("mixing", mixing), ("packing", packing)]

@@ -67,11 +67,11 @@ def keys(ids: np.ndarray, bounds: np.ndarray, dims: int = DIMS, bits: int = BITS
     return hilbert(points, bits)
 
 
-def _encoded(tokenizer: str, end_id: int, cuts: np.ndarray | None):
+def _encoded(tokenizer: str, end_id: int, cuts: np.ndarray | None, slices: int, cache: int):
     def run(batches):
         for batch in batches:
             texts, doc_ids = batch.column("text"), batch.column("doc_id")
-            for first, end, ids, bounds in tokenizing.encode(tokenizer, texts, end_id):
+            for first, end, ids, bounds in tokenizing.encode(tokenizer, texts, end_id, slices, cache):
                 # the id that ends every document says nothing of it
                 key = keys(ids, np.stack([bounds[:-1], bounds[1:] - 1], 1).reshape(-1))[::2] if len(bounds) > 1 else np.zeros(0, np.int64)
                 # copies share a key; a hash of doc_id below it spreads them over partitions
@@ -124,21 +124,21 @@ def tail(total: int, size: int = SEQUENCE) -> list[int]:
     return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SEQUENCE, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SEQUENCE, ids: bool = False, slices: int = tokenizing.SLICE, cache: int = tokenizing.CACHE) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length; with ids its ids.
 
     docs needs doc_id and text; other columns are ignored. Null text: an empty document, which still has end_id. Null doc_id and
     repeated rows are documents like any other; ties on the curve go by a hash of doc_id, then doc_id, then the ids. An empty table gives no rows.
-    sequence_id is the partition's number times 2**40 plus the place in it. Memory: an Arrow batch, and the pieces of the sequence
-    in hand. The bounds of the partitions come from one document in SAMPLE, chosen by hash.
+    sequence_id is the partition's number times 2**40 plus the place in it. Memory: an Arrow batch, a slice of texts, the
+    tokenizer's cache, and the pieces of the sequence in hand. The bounds of the partitions come from one document in SAMPLE, chosen by hash.
     """
     spark = docs.sparkSession
     shards = session.partitions(spark)
     docs = session.documents(docs).select("doc_id", "text")
     some = docs.where(F.abs(F.xxhash64("doc_id", "text") % SAMPLE) == 0)
-    bounds = some.mapInArrow(_encoded(tokenizer, end_id, None), "key long").agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], 10_000).alias("b")).first()["b"] if shards > 1 else None
+    bounds = some.mapInArrow(_encoded(tokenizer, end_id, None, slices, cache), "key long").agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], 10_000).alias("b")).first()["b"] if shards > 1 else None
     cuts = np.unique(np.array(bounds or [], np.int64))
-    rows = docs.mapInArrow(_encoded(tokenizer, end_id, cuts), "doc_id long, key long, place int, ids binary")
+    rows = docs.mapInArrow(_encoded(tokenizer, end_id, cuts, slices, cache), "doc_id long, key long, place int, ids binary")
     rows = rows.repartitionById(len(cuts) + 1, F.col("place")).sortWithinPartitions("key", "doc_id", "ids")
 
     def run(batches):
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SEQUENCE,
                         out += [piece(*h, size) for h in held]
                         held = []
                 position += len(tokens)
-                if len(out) >= 4096:
+                if len(out) >= 1024:
                     yield rows_of(out)
                     out = []
             if out:

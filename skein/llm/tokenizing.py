@@ -26,11 +26,12 @@ for _first, _last in ("09", "AZ", "az"):
 _mark = _plain & ~_alnum
 _lead = np.zeros(256, bool)
 _lead[0xC3:0xCA] = True  # letters of two bytes, but for the signs C3 97 and C3 B7; no white space and no combining mark
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,7 +48,7 @@ class Encoder:
         """Forget the pieces seen in one slice only, and all if that leaves too many."""
         n = len(self.known)
         keep = self.seen[:n] > 1
-        if keep.sum() > CACHE // 2:
+        if keep.sum() > self.cache // 2:
             keep[:] = False
         size = np.diff(self.at[: n + 1])
         self.ids[: int(size[keep].sum())] = self.ids[: self.used][np.repeat(keep, size)]
@@ -99,7 +100,7 @@ class Encoder:
         texts = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(data))
         coded = texts.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self._trim()
         self._learn([t for t in distinct if t not in self.known])
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
@@ -111,16 +112,16 @@ class Encoder:
         return self.ids[source], np.concatenate([[0], ends])[np.searchsorted(cut, at)]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache: int) -> Encoder:
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
 
 
-def encode(path: str, values: pa.Array, end_id: int):
-    """For slices of rows: (first row, end row, ids with end_id after each row, offsets)."""
-    model = encoder(path)
-    for first, end, data, at in kernels.slices(values, SLICE):
+def encode(path: str, values: pa.Array, end_id: int, size: int | None = None, cache: int | None = None):
+    """For slices of rows of about `size` bytes: (first row, end row, ids with end_id after each row, offsets)."""
+    model = encoder(path, CACHE if cache is None else cache)
+    for first, end, data, at in kernels.slices(values, SLICE if size is None else size):
         ids, off = model.slice(data, at)
         n = np.diff(off) + 1
         bounds = np.concatenate([[0], np.cumsum(n)])
