@@ -114,7 +114,7 @@ def _blocks(split: Callable, width: int, prefix: int, repeated: Broadcast):
 
 
 def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = (hashes >> U(64 - FILTER_BITS)).astype(np.int64)
+    slot = (hashes >> U(65 - (8 * len(bits)).bit_length())).astype(np.int64)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -123,7 +123,7 @@ def _place(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _windows(split: Callable, width: int, prefix: int, wanted: Broadcast):
-    """The windows of the blocks that stand for their leaves."""
+    """The windows of the blocks that stand for their leaves, and of some that share a slot of the filter with one."""
 
     def run(batches):
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -143,17 +143,17 @@ def _windows(split: Callable, width: int, prefix: int, wanted: Broadcast):
 
 
 def _repeats(width: int, earlier: bool):
-    """Over blocks sorted by (h, id, block): (h, block, start, end), ranges of a block's tokens that repeated windows cover.
+    """Over blocks sorted by (h, id, block): (h, block, id, start, end), ranges of a block's tokens that repeated windows cover.
 
     Memory: an Arrow batch, and the distinct windows of the prefix group that a batch ends in.
     """
 
-    def emit(h, blocks, starts):
+    def emit(h, blocks, ids, starts):
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (blocks[1:] != blocks[:-1]) | (starts[1:] != starts[:-1] + 1)
+        new[1:] = (h[1:] != h[:-1]) | (blocks[1:] != blocks[:-1]) | (ids[1:] != ids[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(h)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(blocks[first]), pa.array(starts[first]), pa.array(starts[last] + width)], ["h", "block", "from", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(blocks[first]), pa.array(ids[first]), pa.array(starts[first]), pa.array(starts[last] + width)], ["h", "block", "id", "from", "to"])
 
     def run(batches):
         group, carried = None, None  # the last group, and its windows: key (sorted), least id, block, start in it, whether already emitted
@@ -191,10 +191,10 @@ def _repeats(width: int, earlier: bool):
                 if not earlier and len(late):  # a first place counts from its second one on
                     carried[4][late] = True
                     by = np.lexsort((carried[3][late], carried[2][late]))
-                    yield emit(np.full(len(late), group), carried[2][late][by], carried[3][late][by])
+                    yield emit(np.full(len(late), group), carried[2][late][by], carried[1][late][by], carried[3][late][by])
             hit = ids > least[number] if earlier else (known | several)[number]
             if hit.any():
-                yield emit(wide[hit], blocks[hit], inner[hit])
+                yield emit(wide[hit], blocks[hit], ids[hit], inner[hit])
             # what the next batch needs: the distinct windows of this batch's last group
             same = (wide == h[-1])[leader]
             mine = [x[same] for x in (ordered[first], least, blocks[leader], inner[leader], known | several)]
@@ -235,9 +235,11 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     wanted = spark.sparkContext.broadcast(bitmap(slots, F.col("slot"), FILTER_BITS))
     windows = docs.mapInArrow(_windows(split, width, prefix, wanted), "h long, id long, block long, lead int, windows array<int>")
     windows = windows.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "block")
-    inner = windows.mapInArrow(_repeats(width, earlier), "h long, block long, from long, to long")
-    inner = inner.groupBy("h", "block").agg(F.collect_set(F.struct("from", "to")).alias("inner"))
-    leaves = leaves.join(inner, ["h", "block"], "left").where(F.col("copied") | F.col("inner").isNotNull()).drop("place", "several")
+    inner = windows.mapInArrow(_repeats(width, earlier), "h long, block long, id long, from long, to long")
+    # a later copy that passed the filter by its slot alone repeats its own leaf: with earlier, only what the first copy's id repeats counts
+    leaf = ["h", "block", "least"] if earlier else ["h", "block"]
+    inner = inner.withColumnRenamed("id", "least").groupBy(*leaf).agg(F.collect_set(F.struct("from", "to")).alias("inner"))
+    leaves = leaves.join(inner, leaf, "left").where(F.col("copied") | F.col("inner").isNotNull()).drop("place", "several")
     hit = blocks.drop("place").join(leaves, ["h", "block"])
     whole = F.col("id") > F.col("least") if earlier else F.col("copied")
     every = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("count") - 1 + width).cast("long").alias("to")))
@@ -256,7 +258,7 @@ def bitmap(df: DataFrame, place: Column, bits: int) -> bytes:
     for part in parts:
         at = (part["bucket"] - 1) * len(part["part"])
         out[at : at + len(part["part"])] = part["part"]
-    return bytes(out)
+    return bytes(out[: 1 << (bits - 3)])
 
 
 def ranges(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:

@@ -219,6 +219,15 @@ def test_substring_dedup(docs, empty, rows, window, prefix):
     assert op04_substring_dedup.digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [4, 8])
+def test_blocks_that_pass_the_filter_by_their_slot_remove_nothing(docs, rows, monkeypatch, bits):
+    from skein.llm import repeats
+
+    monkeypatch.setattr(repeats, "FILTER_BITS", bits)
+    assert got(op04_substring_dedup.digests(docs, 8, 3), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.windows_removed(rows, 8))
+    assert got(op06_suffix_array_dedup.dedup(docs, 30, 8, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.bytes_removed(rows, 30))
+
+
 def test_substring_dedup_gives_texts(docs):
     out = op04_substring_dedup.dedup(docs, 8, 3).withColumn("kept_sha256", F.sha2("text", 256))
     assert got(out, "doc_id", "n_removed", "kept_sha256") == got(op04_substring_dedup.digests(docs, 8, 3), "doc_id", "n_removed", "kept_sha256")
