@@ -65,7 +65,7 @@ def suffixes(tokens: np.ndarray, bounds: np.ndarray, width: int, prefix: int) ->
         def windows(which: np.ndarray, hashes=hashes, at=at, count=count) -> np.ndarray:
             n = count[which]
             s = np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            return (kernels.span(hashes, s, s + width, _BASE) >> U(32)).astype(np.uint32)
+            return kernels.span(hashes, s, s + width, _BASE)
 
         row = where[at].astype(np.int64)
         block = kernels.span(hashes, at, at + count - 1 + width, _BASE)
@@ -136,7 +136,7 @@ def _windows(split: Callable, width: int, prefix: int, wanted: Broadcast):
                     keep = np.flatnonzero(_has(bits, _place(own, keys[first:end][row], start)))
                     if not len(keep):
                         continue
-                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count[keep])]).astype(np.int32), windows(keep).view(np.int32))
+                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count[keep])]).astype(np.int32), windows(keep).view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(own[keep]), pa.array(block[keep].view(np.int64)), pa.array(lead[keep].astype(np.int32)), lists], ["h", "id", "block", "lead", "windows"])
 
     return run
@@ -167,9 +167,9 @@ def _repeats(width: int, earlier: bool):
             total = int(n.sum())
             inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
             distance = (np.repeat(batch.column("lead").to_numpy(), n) - inner).astype(U)
-            key = (distance << U(32)) | lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32).astype(U)
             wide = np.repeat(h, n)
-            key = kernels.mix(key) ^ kernels.mix(wide.view(U))
+            # within a prefix group and distance, different hashes of windows have different keys
+            key = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(U) ^ kernels.mix(distance ^ kernels.mix(wide.view(U)))
             ids, blocks = np.repeat(batch.column("id").to_numpy(), n), np.repeat(batch.column("block").to_numpy(), n)
             order = np.argsort(key, kind="stable")
             ordered = key[order]
@@ -212,8 +212,8 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     """(id, row, spans array<struct<start,end>>): ranges of tokens in docs (id, row, text) covered by windows that also start in a row of
     smaller id (earlier), or anywhere else. Ranges may touch and overlap.
 
-    `split` gives a slice's tokens and its rows' offsets into them. Two windows count as equal if 64 bits of hash of the prefix,
-    the distance and 32 bits of hash of the window agree, or 64 bits of hash of their blocks.
+    `split` gives a slice's tokens and its rows' offsets into them. Two windows count as equal if 64 bits of hash of the prefix
+    and of the window and the distance agree, or 64 bits of hash of their blocks.
     """
     spark = docs.sparkSession
     places = docs.select("id", "text").mapInArrow(_prefixes(split, width, prefix), "h long, id long").groupBy("h")
@@ -233,7 +233,7 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     leaves = session.checkpoint(leaves.withColumn("several", F.min("block").over(of_prefix) < F.max("block").over(of_prefix)))
     slots = leaves.where("several").select(F.shiftrightunsigned("place", 64 - FILTER_BITS).alias("slot"))
     wanted = spark.sparkContext.broadcast(bitmap(slots, F.col("slot"), FILTER_BITS))
-    windows = docs.mapInArrow(_windows(split, width, prefix, wanted), "h long, id long, block long, lead int, windows array<int>")
+    windows = docs.mapInArrow(_windows(split, width, prefix, wanted), "h long, id long, block long, lead int, windows array<long>")
     windows = windows.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "block")
     inner = windows.mapInArrow(_repeats(width, earlier), "h long, block long, id long, from long, to long")
     # a later copy that passed the filter by its slot alone repeats its own leaf: with earlier, only what the first copy's id repeats counts

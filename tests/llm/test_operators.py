@@ -228,6 +228,29 @@ def test_blocks_that_pass_the_filter_by_their_slot_remove_nothing(docs, rows, mo
     assert got(op06_suffix_array_dedup.dedup(docs, 30, 8, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.bytes_removed(rows, 30))
 
 
+def test_windows_that_agree_on_half_of_their_hash_differ(spark):
+    from skein.llm import repeats
+
+    width, prefix, n = 30, 8, 400_000
+    rng = np.random.default_rng(4)
+    starts = rng.integers(97, 123, (5000, prefix), dtype=np.uint8)
+    low = starts[np.argmin(repeats._range_hashes(kernels.prefix(starts.reshape(-1), repeats._BASE), prefix)[::prefix])]
+    letters = rng.integers(97, 123, (n, width), dtype=np.uint8)
+    letters[:, :prefix] = low  # the anchor of nearly all
+    at = np.arange(n) * width
+    whole = kernels.span(kernels.prefix(letters.reshape(-1), repeats._BASE), at, at + width, repeats._BASE)
+    order = np.argsort(whole)
+    half = (whole >> np.uint64(32))[order]
+    twins = np.flatnonzero(half[1:] == half[:-1])
+    assert len(twins) > 5
+    texts = [letters[i].tobytes().decode() for i in np.concatenate([order[twins], order[twins + 1]])]
+    assert len(set(texts)) == len(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert op06_suffix_array_dedup.dedup(frame, width, prefix).where("n_removed > 0").count() == 0
+    words = frame.withColumn("text", F.expr("array_join(split(text, ''), ' ')"))
+    assert op04_substring_dedup.digests(words, width, prefix).where("n_removed > 0").count() == 0
+
+
 def test_substring_dedup_gives_texts(docs):
     out = op04_substring_dedup.dedup(docs, 8, 3).withColumn("kept_sha256", F.sha2("text", 256))
     assert got(out, "doc_id", "n_removed", "kept_sha256") == got(op04_substring_dedup.digests(docs, 8, 3), "doc_id", "n_removed", "kept_sha256")
