@@ -85,6 +85,18 @@ def test_fuzzy_members_equal_brute_force(spark):
     assert got == {w for w in words if max(fuzzy.ratio(w, t) for t in terms) > 90}
 
 
+def test_fuzzy_membership_asks_all_names(spark):
+    from skein.functions import fuzzy
+    from skein.plans import catalogue as plans
+
+    folder = "/root/testdata/sf0.001"
+    parts = [tuple(r) for r in spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_name").collect()]
+    names = {n for _, n in parts if n is not None}
+    members = {n for n in names if any(fuzzy.ratio(n, t + "x") > 90 for t in names)}
+    got = plans.QUERIES["fuzzy_membership"](spark, folder).collect()
+    assert len(members) > 20 and sorted(map(tuple, got)) == sorted(p for p in parts if p[1] in members)
+
+
 def test_pair_count_and_orientation(spark):
     rows = [(1, e) for e in "abcd"] + [(2, "a"), (3, None)]
     pairs = relations.entity_pairs(spark.createDataFrame(rows, "doc_id long, e string"), "doc_id", "e")
