@@ -113,13 +113,18 @@ FROM q JOIN n ON (q.t = n.t OR q.t = n.t || 'x' OR q.t = substr(n.t, 2))
 WHERE q.t <> '' AND 200.0 * least(length(q.t), length(n.t)) / (length(q.t) + length(n.t)) >= 93
 """)
 def fuzzy_pairs(spark, d):
-    """Part names, and variants with a letter more or less, against part names; the best score of each query and its own name."""
+    """Of fuzzy_pairs_all, each query and its own name: the pairs that an equi join in SQL can give."""
+    own = (F.col("query") == F.col("term")) | (F.col("query") == F.concat("term", F.lit("x"))) | (F.col("query") == F.expr("substr(term, 2)"))
+    return fuzzy_pairs_all(spark, d).where(own)
+
+
+@query()
+def fuzzy_pairs_all(spark, d):
+    """Part names, and variants with a letter more or less, against part names: every pair that reaches the cutoff, different names too."""
     names = table(spark, d, "part").select(F.col("p_name").alias("term")).distinct()
     asked = names.select(F.explode(F.array("term", F.concat("term", F.lit("x")), F.expr("substr(term, 2)"))).alias("query")).distinct()
     terms = dictionary.vocabulary(names.withColumn("label", F.lit("part")))
-    pairs = dictionary.fuzzy_join(asked, "query", terms)
-    own = (F.col("query") == F.col("term")) | (F.col("query") == F.concat("term", F.lit("x"))) | (F.col("query") == F.expr("substr(term, 2)"))
-    return pairs.where(own).select("query", "term", F.round("score", 6).alias("score"))
+    return dictionary.fuzzy_join(asked, "query", terms).select("query", "term", F.round("score", 6).alias("score"))
 
 
 @query("""

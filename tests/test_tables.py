@@ -97,6 +97,19 @@ def test_fuzzy_membership_asks_all_names(spark):
     assert len(members) > 20 and sorted(map(tuple, got)) == sorted(p for p in parts if p[1] in members)
 
 
+def test_fuzzy_pairs_of_different_names(spark):
+    from skein.functions import fuzzy
+    from skein.plans import catalogue as plans
+
+    folder = "/root/testdata/sf0.001"
+    names = {r["p_name"] for r in spark.read.parquet(f"{folder}/part.parquet").select("p_name").collect()}
+    asked = {q for n in names for q in (n, n + "x", n[1:]) if q}
+    want = {(q, t): fuzzy.ratio(q, t) for q in asked for t in names if abs(len(q) - len(t)) <= 2 and fuzzy.ratio(q, t) >= 93}
+    got = {(r["query"], r["term"]): r["score"] for r in plans.QUERIES["fuzzy_pairs_all"](spark, folder).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert ("cold anvil", "old anvil") in got
+
+
 def test_pair_count_and_orientation(spark):
     rows = [(1, e) for e in "abcd"] + [(2, "a"), (3, None)]
     pairs = relations.entity_pairs(spark.createDataFrame(rows, "doc_id long, e string"), "doc_id", "e")
