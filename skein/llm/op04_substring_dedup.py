@@ -2,8 +2,8 @@
 
 A full suffix tree has a suffix for every word. Here only suffixes that begin at an anchor are kept (see repeats), 1 in
 about 18 for windows of 50 words and prefixes of 16. Prefixes found in one document only are dropped by a count over all
-documents; the others are the roots of the subtrees, each small enough for a task, whose nodes at the depth of a whole
-window, reached from any distance before the anchor, are the repeats.
+documents; the others are the roots of groups, whose windows, at any distance before the anchor, are the repeats where they are
+equal. A group is one task's, however many different windows its prefix has: nothing splits it, see the README.
 """
 
 from __future__ import annotations
