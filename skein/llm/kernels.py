@@ -125,23 +125,15 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Leftmost place of the minimum of values[i:i+width] for each i with a whole window."""
-    low = window_min(values, width)
-    if not len(low):
-        return np.zeros(0, np.int64)
-    # places that are the minimum of some window that they lead or end are few; walk to the first one not before i
-    n = len(values)
-    best = np.arange(n - 1 + 1, dtype=np.int64)
-    place, have, least = best, 1, values
-    while have < width:
-        step = min(have, width - have)
-        left, right = least[:-step], least[step:]
-        take = right < left
-        place = np.where(take, place[step:], place[:-step])
-        least = np.where(take, right, left)
-        have += step
-    return place
+def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the slot of each hash, its highest bits, is set in a filter of 2**n bits."""
+    slot = (hashes >> U(65 - (8 * len(bits)).bit_length())).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] values, then the same from starts[1], and so on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,8 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import kernels, session
@@ -29,6 +30,8 @@ U = np.uint64
 _NULL_ID = -(1 << 63)
 #: Sets of one pivot in a task, about; more are dealt over several.
 PART = 1000
+#: Size of the fixed filter of block keys that several sets have, in bits: 8 MB, whatever the corpus.
+FILTER_BITS = 26
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -118,8 +121,11 @@ def _sets(k: int):
     return run
 
 
-def _index(k: int, percent: int):
+def _index(k: int, percent: int, listed: Broadcast | None):
+    """(key, set) of each block of each set; of those in the filter of keys, where there is one."""
+
     def run(batches):
+        bits = np.frombuffer(listed.value, np.uint8) if listed else None
         seen: set[int] = set()  # of this task; copies in other tasks meet in the lists
         for batch in batches:
             for _, _, data, at in kernels.slices(batch.column("text")):
@@ -127,26 +133,17 @@ def _index(k: int, percent: int):
                 names = set_names(sets)
                 new = [i for i, name in enumerate(names.tolist()) if len(sets[i]) and name not in seen and not seen.add(name)]
                 keys, owner = block_keys([sets[i] for i in new], percent)
+                if bits is not None:
+                    keep = kernels.has(bits, keys)
+                    keys, owner = keys[keep], owner[keep]
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[new][owner])], ["key", "set"])
 
     return run
 
 
-def _narrow(tokens: np.ndarray) -> bytes:
-    """Values below 2**40, five bytes each."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _widened(data: pa.Buffer) -> np.ndarray:
-    narrow = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :5] = narrow
-    return wide.reshape(-1).view("<u8")
-
-
 def _members(k: int):
-    """A row for each pivot of a set, with its shingles cut to 40 bits, in one of the pivot's parts; the pivot itself in all."""
+    """A row for each pivot of a set, with its shingles, in one of the pivot's parts; the pivot itself in all."""
 
     def run(batches):
         for batch in batches:
@@ -158,7 +155,7 @@ def _members(k: int):
                     rows = [(p["pivot"], part, p["parts"]) for p in own for part in (range(p["parts"]) if p["pivot"] == name else [name % p["parts"]])]
                     for begin in range(0, len(rows), 4096):
                         some = rows[begin : begin + 4096]
-                        columns = [*zip(*some), [name] * len(some), [_narrow(tokens >> U(24))] * len(some)]
+                        columns = [*zip(*some), [name] * len(some), [tokens.tobytes()] * len(some)]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["pivot", "part", "parts", "set", "tokens"])
 
     return run
@@ -194,7 +191,7 @@ def _compared(percent: int):
         for batch in batches:
             out = []
             for pivot, part, parts, name, tokens in zip(*(batch.column(c).to_pylist() for c in ("pivot", "part", "parts", "set")), batch.column("tokens")):
-                tokens = _widened(tokens.as_buffer())
+                tokens = np.frombuffer(tokens.as_buffer(), U)
                 if (pivot, part) != at:
                     if held:
                         out += settled(at[0], held)
@@ -207,7 +204,7 @@ def _compared(percent: int):
                 if parts == 1:
                     held.append((name, len(tokens), away, near))
                 else:
-                    out.append((0, pivot, part, parts, name, len(tokens), _narrow(away), near))
+                    out.append((0, pivot, part, parts, name, len(tokens), away.tobytes(), near))
             if out:
                 yield rows(out)
         if held and (out := settled(at[0], held)):
@@ -224,7 +221,7 @@ class Part:
         self.root = np.array([0, *(0 if x else i + 1 for i, x in enumerate(near))])
         self.sizes, self.away = np.array([0, *sizes], np.int64), np.array([0, *map(len, apart)], np.int64)
         owner = np.repeat(np.arange(len(self.names)), self.away)
-        tokens = np.concatenate(apart) if apart else np.zeros(0, "<u8")
+        tokens = np.concatenate(apart) if apart else np.zeros(0, U)
         by = np.argsort(tokens, kind="stable")
         self.tokens, self.owner = tokens[by], owner[by]
 
@@ -271,7 +268,7 @@ def _rest_links(percent: int):
             for pivot, part, kind, name, n, near, away in zip(*(batch.column(c).to_pylist() for c in ("pivot", "part", "kind", "set", "n", "near")), batch.column("away")):
                 if (pivot, part) != at:
                     at, own, ready = (pivot, part), ([], [], [], []), None
-                away = _widened(away.as_buffer())
+                away = np.frombuffer(away.as_buffer(), U)
                 if kind == 0:
                     for column, value in zip(own, (name, n, away, near)):
                         column.append(value)
@@ -290,15 +287,17 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> Da
     docs needs doc_id and text; other columns are ignored. Two documents link when 100 * intersection >= percent * union of their
     sets of k-word shingles. No words, null or empty text: an empty set, linked with nothing; its component is itself.
     Rows with equal sets are linked, rows that share a doc_id are rows of their own. A component's doc_id is null only
-    if all in it are. Shingles and sets are known by 64-bit hashes,
-    and two sets are compared on 40 bits of each shingle's.
+    if all in it are. Shingles and sets are known by 64-bit hashes.
     """
     spark = docs.sparkSession
     rows = session.documents(docs).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
     members = session.checkpoint(rows.mapInArrow(_sets(k), "id long, row long, n long, set long"))
-    index = rows.select("text").mapInArrow(_index(k, percent), "key long, set long")
-    listed = index.withColumn("pivot", F.min("set").over(Window.partitionBy("key")))
-    pairs = session.checkpoint(listed.where("pivot <> set").select("pivot", "set").distinct())
+    # first the keys that several sets have, then their sets: a frequent key's list is never gathered to find its pivot
+    keys = rows.select("text").mapInArrow(_index(k, percent, None), "key long, set long").groupBy("key").agg(F.min("set").alias("pivot"), F.max("set").alias("last"))
+    lists = session.checkpoint(keys.where("pivot < last").drop("last"))
+    listed = spark.sparkContext.broadcast(session.bitmap(lists, F.shiftrightunsigned("key", 64 - FILTER_BITS), FILTER_BITS))
+    index = rows.select("text").mapInArrow(_index(k, percent, listed), "key long, set long").join(lists, "key")
+    pairs = session.checkpoint(index.where("pivot <> set").select("pivot", "set").distinct())
     # a pivot and its number of parts; the pivot goes to all of them
     parts = session.checkpoint(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")))
     asked = pairs.join(parts, "pivot").unionByName(parts.select("pivot", F.col("pivot").alias("set"), "parts"))

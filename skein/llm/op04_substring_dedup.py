@@ -1,9 +1,10 @@
-"""Substring dedup on words: suffixes dealt out by prefix, repeats read off each group's deep nodes.
+"""Substring dedup on words: prefix-partitioned suffix trees, repeats read off each subtree's deep nodes.
 
-A full suffix tree has a suffix for every word. Here only suffixes that begin at an anchor are kept (see repeats), 1 in
-about 18 for windows of 50 words and prefixes of 16. Prefixes found in one document only are dropped by a count over all
-documents; the others are the roots of groups, whose windows, at any distance before the anchor, are the repeats where they are
-equal. A group is one task's, however many different windows its prefix has: nothing splits it, see the README.
+Suffixes are dealt into groups by prefixes of variable length (see repeats): 16 words at an anchor, or, where a prefix has more
+windows than a task may hold, the whole window. Prefixes found in one document only are dropped by a count over all documents. A
+group's subtree is its sorted suffixes: ranks of runs of 1, 2, 4, ... words sort them word by word, and neighbours with as many words
+in common as a window has hang below one internal node of at least that depth. All suffixes below such a node but those of its smallest
+doc_id are repeats.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import kernels, repeats
 
+U = np.uint64
 WINDOW = 50
 PREFIX = 16
 
@@ -27,6 +29,18 @@ def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kernels.word_hashes(data, start, end), np.searchsorted(row, np.arange(len(at)))
 
 
+def deep_nodes(tokens: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """For the suffix at each of starts, the number, in order of the words, of the node that the path of its first `width` words ends in or above."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    ranked = lambda x: np.unique(x, return_inverse=True)[1].astype(U)
+    paired = lambda a, b: ranked(a * (b.max() + U(1)) + b)  # noqa: E731  ranks are below the number of tokens, so pairs fit in 64 bits
+    rank, length = ranked(tokens), 1
+    while 2 * length <= width:
+        rank, length = paired(rank[:-length], rank[length:]), 2 * length
+    return paired(rank[starts], rank[starts + width - length]).astype(np.int64)
+
+
 def _kept(batches):
     """(id, row, n_words, n_removed, kept) for rows with spans of words."""
     for batch in batches:
@@ -46,7 +60,7 @@ def _kept(batches):
 
 def spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """(id, row, spans of words) that a window shared with a smaller doc_id covers; docs as of repeats.keyed."""
-    return repeats.covered(docs, split, window, min(prefix, window), earlier=True)
+    return repeats.covered(docs, split, window, min(prefix, window), True, "u8", deep_nodes)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:

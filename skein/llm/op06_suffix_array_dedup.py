@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import repeats
+from skein.llm import kernels, repeats
 
 WINDOW = 400
 PREFIX = 64
@@ -26,6 +26,14 @@ def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
+def equal_windows(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A number for the string of `width` bytes at each of starts, by 64 bits of hash."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    hashes = kernels.prefix(data)
+    return np.unique(kernels.span(hashes, starts, starts + width), return_inverse=True)[1]
+
+
 def _kept(batches):
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary()).to_pylist()
@@ -45,7 +53,7 @@ def _kept(batches):
 
 def spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """(id, row, spans of bytes) covered by strings of `window` bytes that also start elsewhere; docs as of repeats.keyed."""
-    return repeats.covered(docs, split, window, min(prefix, window), earlier=False)
+    return repeats.covered(docs, split, window, min(prefix, window), False, "u1", equal_windows)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, digest: bool = False) -> DataFrame:

@@ -4,9 +4,12 @@ Only some suffixes are kept: those that begin where a run of `prefix` tokens has
 some window (its anchor). A window's anchor depends on the window's tokens alone, so equal windows have equal anchors at
 the same distance, and nothing is lost. Suffixes are dealt out by their prefix, the anchor's hash, and a prefix that only
 one place has is dropped before anything else is kept of it. The stretch of text that an anchor's windows cover is its block.
-Blocks that are equal as a whole are one leaf, all of whose windows repeat; of each leaf one block stands for all. What
-remains of a prefix group with several leaves are their windows by distance from the anchor, sorted; equal neighbours are
-an inner node at full depth, a repeat.
+Blocks that are equal as a whole are one leaf, all of whose windows repeat; of each leaf one block stands for all.
+
+What remains are prefixes with several leaves. Their windows are counted. A prefix whose windows fit in a task's memory is a
+group: one task gets its blocks' tokens, numbers their windows' nodes (see covered), and reads the repeats off the nodes that several
+windows share. A prefix with more windows has it lengthened to the whole window: each such group is a single node, which an
+aggregation with map-side sums counts, wherever its windows are.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import kernels, session
@@ -26,6 +29,10 @@ U = np.uint64
 PART = 1 << 18
 #: Size of the fixed filter of repeated prefixes, in bits: 8 MB, whatever the corpus.
 FILTER_BITS = 26
+#: Windows of a prefix that one task may hold; also no more than a task's share of all, but LEAST of them are never too many.
+MOST, LEAST = 1 << 18, 1 << 12
+#: Bytes of tokens of whole groups that are handled at once.
+HELD = 4 << 20
 NULL_ID = -(1 << 63)
 _BASE = 0xD1342543DE82EF95
 
@@ -35,13 +42,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return session.documents(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
 
 
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _range_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return kernels.mix((hashes[width:] - hashes[:-width]) * kernels.powers(_BASE, len(hashes))[1][: len(hashes) - width])
 
 
 def suffixes(tokens: np.ndarray, bounds: np.ndarray, width: int, prefix: int) -> Iterator[tuple]:
-    """For parts of a slice: (prefix hash, row, first window's start, its distance from the anchor, windows, block hash) for each kept suffix,
-    and a function that gives the hashes of ranges of windows. bounds: the rows' offsets into tokens."""
+    """For parts of a slice: (prefix hash, row, first window's start, windows, block hash) for each kept suffix, and functions that give
+    the hashes of their windows and their tokens. bounds: the rows' offsets into tokens."""
     if len(tokens) < width:
         return
     rows = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
@@ -62,14 +73,18 @@ def suffixes(tokens: np.ndarray, bounds: np.ndarray, width: int, prefix: int) ->
         count = np.diff(np.append(first, len(starts)))
         at = starts[first]
 
-        def windows(which: np.ndarray, hashes=hashes, at=at, count=count) -> np.ndarray:
-            n = count[which]
-            s = np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            return kernels.span(hashes, s, s + width, _BASE)
+        def windows(which: np.ndarray, hashes=hashes, at=at, count=count) -> pa.Array:
+            s = kernels.ragged(at[which], count[which])
+            return pa.ListArray.from_arrays(offsets(count[which]).astype(np.int32), kernels.span(hashes, s, s + width, _BASE).view(np.int64))
+
+        def contents(which: np.ndarray, part=part, at=at, count=count) -> pa.Array:
+            n = count[which] + width - 1
+            data = part[kernels.ragged(at[which], n)]
+            return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets(n * part.itemsize)), pa.py_buffer(data)])
 
         row = where[at].astype(np.int64)
         block = kernels.span(hashes, at, at + count - 1 + width, _BASE)
-        yield runs[place[first]], row, begin + at - bounds[row], place[first] - at, count, block, windows
+        yield runs[place[first]], row, begin + at - bounds[row], count, block, windows, contents
 
 
 def _prefixes(split: Callable, width: int, prefix: int):
@@ -91,8 +106,8 @@ def _blocks(split: Callable, width: int, prefix: int, repeated: Broadcast):
             ids, keys = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             for first, end, data, at in kernels.slices(batch.column("text")):
                 tokens, bounds = split(data, at)
-                for h, row, start, _, count, block, _ in suffixes(tokens, bounds, width, prefix):
-                    keep = np.flatnonzero(_has(bits, h))
+                for h, row, start, count, block, *_ in suffixes(tokens, bounds, width, prefix):
+                    keep = np.flatnonzero(kernels.has(bits, h))
                     if not len(keep):
                         continue
                     # a text that repeats itself has one row for all places of a block
@@ -113,17 +128,12 @@ def _blocks(split: Callable, width: int, prefix: int, repeated: Broadcast):
     return run
 
 
-def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = (hashes >> U(65 - (8 * len(bits)).bit_length())).astype(np.int64)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-
-
 def _place(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return kernels.mix(ids.view(U) ^ kernels.mix(rows.view(U) ^ kernels.mix(starts.view(U))))
 
 
-def _windows(split: Callable, width: int, prefix: int, wanted: Broadcast):
-    """The windows of the blocks that stand for their leaves, and of some that share a slot of the filter with one."""
+def _standing(split: Callable, width: int, prefix: int, wanted: Broadcast, contents: bool):
+    """The blocks that stand for their leaves, and some that share a slot of the filter with one: (h, id, block) and their tokens or their windows' hashes."""
 
     def run(batches):
         bits = np.frombuffer(wanted.value, np.uint8)
@@ -131,115 +141,128 @@ def _windows(split: Callable, width: int, prefix: int, wanted: Broadcast):
             ids, keys = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             for first, end, data, at in kernels.slices(batch.column("text")):
                 tokens, bounds = split(data, at)
-                for h, row, start, lead, count, block, windows in suffixes(tokens, bounds, width, prefix):
+                for h, row, start, _, block, windows, tokens_of in suffixes(tokens, bounds, width, prefix):
                     own = ids[first:end][row]
-                    keep = np.flatnonzero(_has(bits, _place(own, keys[first:end][row], start)))
-                    if not len(keep):
-                        continue
-                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count[keep])]).astype(np.int32), windows(keep).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(own[keep]), pa.array(block[keep].view(np.int64)), pa.array(lead[keep].astype(np.int32)), lists], ["h", "id", "block", "lead", "windows"])
+                    keep = np.flatnonzero(kernels.has(bits, _place(own, keys[first:end][row], start)))
+                    if len(keep):
+                        last = tokens_of(keep).cast(pa.binary()) if contents else windows(keep)
+                        yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(own[keep]), pa.array(block[keep].view(np.int64)), last], ["h", "id", "block", "tokens" if contents else "windows"])
 
     return run
 
 
-def _repeats(width: int, earlier: bool):
-    """Over blocks sorted by (h, id, block): (h, block, id, start, end), ranges of a block's tokens that repeated windows cover.
+def _ranges(h, blocks, ids, starts, width):
+    """Runs of window starts, in order within a block, as ranges of tokens."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (blocks[1:] != blocks[:-1]) | (ids[1:] != ids[:-1]) | (starts[1:] != starts[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(h)) - 1
+    return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(blocks[first]), pa.array(ids[first]), pa.array(starts[first]), pa.array(starts[last] + width)], ["h", "block", "id", "from", "to"])
+
+
+def _groups(width: int, kind: str, nodes: Callable, earlier: bool):
+    """Over blocks sorted by (h, id, block): (h, block, id, from, to), ranges of a block's tokens that repeated windows cover.
 
-    Memory: an Arrow batch, and the distinct windows of the prefix group that a batch ends in.
+    Memory: HELD bytes of tokens, or one prefix's blocks where they are more, which MOST bounds.
     """
 
-    def emit(h, blocks, ids, starts):
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (blocks[1:] != blocks[:-1]) | (ids[1:] != ids[:-1]) | (starts[1:] != starts[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(h)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(blocks[first]), pa.array(ids[first]), pa.array(starts[first]), pa.array(starts[last] + width)], ["h", "block", "id", "from", "to"])
+    def found(table):
+        h, ids, blocks = (table.column(c).to_numpy() for c in ("h", "id", "block"))
+        data, at = kernels.column(table.column("tokens"))
+        tokens = data[at[0] : at[-1]].view(kind)
+        at = (at - at[0]) // tokens.itemsize
+        n = np.diff(at) - width + 1
+        number = nodes(tokens, kernels.ragged(at[:-1], n), width)
+        wide, inner = np.repeat(np.arange(len(h)), n), kernels.ragged(np.zeros(len(h), np.int64), n)
+        if earlier:
+            least = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, number, ids[wide])
+            hit = ids[wide] > least[number]
+        else:
+            hit = np.bincount(number)[number] > 1
+        if hit.any():
+            yield _ranges(h[wide[hit]], blocks[wide[hit]], ids[wide[hit]], inner[hit], width)
 
     def run(batches):
-        group, carried = None, None  # the last group, and its windows: key (sorted), least id, block, start in it, whether already emitted
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            size += batch.column("tokens").nbytes
+            if size < HELD:
                 continue
-            h = batch.column("h").to_numpy()
-            lists = batch.column("windows")
-            offsets = lists.offsets.to_numpy()
-            n = np.diff(offsets)
-            total = int(n.sum())
-            inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            distance = (np.repeat(batch.column("lead").to_numpy(), n) - inner).astype(U)
-            wide = np.repeat(h, n)
-            # within a prefix group and distance, different hashes of windows have different keys
-            key = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(U) ^ kernels.mix(distance ^ kernels.mix(wide.view(U)))
-            ids, blocks = np.repeat(batch.column("id").to_numpy(), n), np.repeat(batch.column("block").to_numpy(), n)
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.ones(total, bool)
-            new[1:] = ordered[1:] != ordered[:-1]
-            first = np.flatnonzero(new)
-            number = np.empty(total, np.int64)  # of each window's key
-            number[order] = np.cumsum(new) - 1
-            leader = order[first]  # the first place of each key here
-            several = np.diff(np.append(first, total)) > 1
-            least = ids[leader]
-            known = np.zeros(len(first), bool)
-            if carried is not None and h[0] == group:
-                spot = np.minimum(np.searchsorted(carried[0], ordered[first]), len(carried[0]) - 1)
-                known = carried[0][spot] == ordered[first]
-                least = np.where(known, np.minimum(carried[1][spot], least), least)
-                late = np.unique(spot[known])
-                late = late[~carried[4][late]]
-                if not earlier and len(late):  # a first place counts from its second one on
-                    carried[4][late] = True
-                    by = np.lexsort((carried[3][late], carried[2][late]))
-                    yield emit(np.full(len(late), group), carried[2][late][by], carried[1][late][by], carried[3][late][by])
-            hit = ids > least[number] if earlier else (known | several)[number]
-            if hit.any():
-                yield emit(wide[hit], blocks[hit], ids[hit], inner[hit])
-            # what the next batch needs: the distinct windows of this batch's last group
-            same = (wide == h[-1])[leader]
-            mine = [x[same] for x in (ordered[first], least, blocks[leader], inner[leader], known | several)]
-            if carried is not None and h[-1] == group:
-                fresh = ~known[same]
-                mine = [np.concatenate([a, b[fresh]]) for a, b in zip(carried, mine)]
-                by = np.argsort(mine[0], kind="stable")
-                mine = [x[by] for x in mine]
-            group, carried = h[-1], [np.array(x) for x in mine]
+            table = pa.Table.from_batches(held).combine_chunks()
+            h = table.column("h").to_numpy()
+            ended = int(np.searchsorted(h, h[-1]))  # rows of groups that end here
+            yield from found(table[:ended])
+            held = table[ended:].combine_chunks().to_batches()
+            size = sum(b.column("tokens").nbytes for b in held)
+        if size:
+            yield from found(pa.Table.from_batches(held))
+
+    return run
+
+
+def _joined(width: int):
+    """Rows (h, block, id, at array) to ranges of tokens."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("at")
+            n = np.diff(lists.offsets.to_numpy())
+            values = np.concatenate([np.sort(x) for x in np.split(lists.flatten().to_numpy(), np.cumsum(n)[:-1])]).astype(np.int64) if len(n) else np.zeros(0, np.int64)
+            yield _ranges(*(np.repeat(batch.column(c).to_numpy(), n) for c in ("h", "block", "id")), values, width)
 
     return run
 
 
-def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier: bool) -> DataFrame:
+def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier: bool, kind: str, nodes: Callable) -> DataFrame:
     """(id, row, spans array<struct<start,end>>): ranges of tokens in docs (id, row, text) covered by windows that also start in a row of
     smaller id (earlier), or anywhere else. Ranges may touch and overlap.
 
-    `split` gives a slice's tokens and its rows' offsets into them. Two windows count as equal if 64 bits of hash of the prefix
-    and of the window and the distance agree, or 64 bits of hash of their blocks.
+    `split` gives a slice's tokens, of numpy type `kind`, and its rows' offsets into them. `nodes` numbers windows: from a group's
+    tokens, the windows' starts and width, a number from 0 for each, equal where the windows are. Blocks, and the windows of
+    prefixes that are too many for a task, count as equal if 64 bits of their hashes agree, and 64 of their prefixes'.
     """
     spark = docs.sparkSession
     places = docs.select("id", "text").mapInArrow(_prefixes(split, width, prefix), "h long, id long").groupBy("h")
     shared = places.agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b") if earlier else places.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = spark.sparkContext.broadcast(bitmap(shared, F.shiftrightunsigned("h", 64 - FILTER_BITS), FILTER_BITS))
+    repeated = spark.sparkContext.broadcast(session.bitmap(shared, F.shiftrightunsigned("h", 64 - FILTER_BITS), FILTER_BITS))
     path = session.new_path(spark, "blocks")
     docs.mapInArrow(_blocks(split, width, prefix, repeated), "h long, id long, row long, count int, block long, start long, place long, more array<long>").write.parquet(path)
     blocks = spark.read.parquet(path)
     # leaves: a row for each different block, whatever the number of its copies
+    leaves = blocks.groupBy("h", "block")
     if earlier:
-        leaves = blocks.groupBy("h", "block").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("most"))
-        leaves = leaves.select("h", "block", "first.place", F.col("first.id").alias("least"), (F.col("first.id") < F.col("most")).alias("copied"))
+        leaves = leaves.agg(F.max("count").alias("count"), F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("most"))
+        leaves = leaves.select("h", "block", "count", "first.place", F.col("first.id").alias("least"), (F.col("first.id") < F.col("most")).alias("copied"))
     else:
-        leaves = blocks.groupBy("h", "block").agg(F.min("place").alias("place"), F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).alias("n"))
-        leaves = leaves.select("h", "block", "place", (F.col("n") > 1).alias("copied"))
-    of_prefix = Window.partitionBy("h")
-    leaves = session.checkpoint(leaves.withColumn("several", F.min("block").over(of_prefix) < F.max("block").over(of_prefix)))
-    slots = leaves.where("several").select(F.shiftrightunsigned("place", 64 - FILTER_BITS).alias("slot"))
-    wanted = spark.sparkContext.broadcast(bitmap(slots, F.col("slot"), FILTER_BITS))
-    windows = docs.mapInArrow(_windows(split, width, prefix, wanted), "h long, id long, block long, lead int, windows array<long>")
-    windows = windows.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "block")
-    inner = windows.mapInArrow(_repeats(width, earlier), "h long, block long, id long, from long, to long")
+        leaves = leaves.agg(F.max("count").alias("count"), F.min("place").alias("place"), F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).alias("n"))
+        leaves = leaves.select("h", "block", "count", "place", (F.col("n") > 1).alias("copied"))
+    leaves = session.checkpoint(leaves)
+    # the windows of each prefix that has several leaves
+    sizes = leaves.groupBy("h").agg(F.sum("count").alias("windows"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    leaves = session.checkpoint(leaves.join(sizes, "h", "left"))
+    total = leaves.where("windows is not null").agg(F.sum("count").alias("n")).first()["n"] or 0
+    most = min(MOST, max(LEAST, total // session.partitions(spark)))
+    place = F.shiftrightunsigned("place", 64 - FILTER_BITS)
+    wanted = spark.sparkContext.broadcast(session.bitmap(leaves.where(F.col("windows") <= most), place, FILTER_BITS))
+    ranges = "h long, block long, id long, from long, to long"
+    groups = docs.mapInArrow(_standing(split, width, prefix, wanted, True), "h long, id long, block long, tokens binary")
+    groups = groups.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "block")
+    inner = groups.mapInArrow(_groups(width, kind, nodes, earlier), ranges)
+    large = leaves.where(F.col("windows") > most)
+    if large.take(1):
+        wanted = spark.sparkContext.broadcast(session.bitmap(large, place, FILTER_BITS))
+        single = docs.mapInArrow(_standing(split, width, prefix, wanted, False), "h long, id long, block long, windows array<long>")
+        single = single.select("h", "block", "id", F.posexplode("windows").alias("at", "window"))
+        several = single.groupBy("h", "window").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        single = single.join(several, ["h", "window"])
+        single = (single.where("id > low") if earlier else single).groupBy("h", "block", "id").agg(F.collect_list("at").alias("at"))
+        inner = inner.unionByName(single.mapInArrow(_joined(width), ranges))
     # a later copy that passed the filter by its slot alone repeats its own leaf: with earlier, only what the first copy's id repeats counts
     leaf = ["h", "block", "least"] if earlier else ["h", "block"]
     inner = inner.withColumnRenamed("id", "least").groupBy(*leaf).agg(F.collect_set(F.struct("from", "to")).alias("inner"))
-    leaves = leaves.join(inner, leaf, "left").where(F.col("copied") | F.col("inner").isNotNull()).drop("place", "several")
+    leaves = leaves.drop("place", "windows", "count").join(inner, leaf, "left").where(F.col("copied") | F.col("inner").isNotNull())
     hit = blocks.drop("place").join(leaves, ["h", "block"])
     whole = F.col("id") > F.col("least") if earlier else F.col("copied")
     every = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("count") - 1 + width).cast("long").alias("to")))
@@ -250,17 +273,6 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     return session.checkpoint(ranges.groupBy("id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
-def bitmap(df: DataFrame, place: Column, bits: int) -> bytes:
-    """A bit for each value of place, below 2**bits: a filter of fixed size. The driver gets 2**bits / 8 bytes at most."""
-    place = place + 1  # the functions count from 1
-    parts = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("part")).collect()
-    out = bytearray(1 << (bits - 3))
-    for part in parts:
-        at = (part["bucket"] - 1) * len(part["part"])
-        out[at : at + len(part["part"])] = part["part"]
-    return bytes(out[: 1 << (bits - 3)])
-
-
 def ranges(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of row i's spans."""
     spans = batch.column("spans")[i]

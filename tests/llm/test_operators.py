@@ -28,12 +28,6 @@ def plain_ids(name, texts):
 # -- kernels
 
 
-def test_window_argmin_is_leftmost():
-    values = np.random.default_rng(0).integers(0, 5, 300).astype(np.uint64)
-    for width in (1, 2, 7, 35):
-        assert kernels.window_argmin(values, width).tolist() == [i + int(np.argmin(values[i : i + width])) for i in range(300 - width + 1)]
-
-
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_the_ids_of_whole_texts(name, rows):
     import pyarrow as pa
@@ -192,6 +186,19 @@ def test_links_in_parts_equal_all_pairs():
         assert both[0] == both[1]
 
 
+def test_shingles_that_agree_on_40_bits_differ(spark):
+    """The last shingles' hashes agree on their first 40 bits: 17 of 19 shingles are shared, which is under 90 %."""
+    base = " ".join(f"{letter}{i}" for letter in "ab" for i in range(10)).rsplit(" ", 1)[0]
+    texts = [f"{base} {last}" for last in ("aetquc", "agazex", "aevalm", "alpkct")]
+    last = [op03_jaccard_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 3)[0] for t in texts]
+    for a, b in (last[:2], last[2:]):
+        own = np.setxor1d(a, b)
+        assert len(own) == 2 and len(set((own >> np.uint64(24)).tolist())) == 1
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(op03_jaccard_join.join(frame, 3, 90), "doc_id", "n_shingles", "component_id") == Counter((i, 18, i) for i in range(4))
+    assert got(op03_jaccard_join.join(frame, 3, 89), "doc_id", "component_id") == Counter((i, 0) for i in range(4))
+
+
 @pytest.mark.parametrize("part", [1, 3])
 def test_jaccard_join_in_parts(docs, rows, part):
     assert got(op03_jaccard_join.join(docs, 2, 60, part=part), "doc_id", "n_shingles", "component_id") == Counter(brute.components(rows, 2, 60))
@@ -228,6 +235,36 @@ def test_blocks_that_pass_the_filter_by_their_slot_remove_nothing(docs, rows, mo
     assert got(op06_suffix_array_dedup.dedup(docs, 30, 8, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.bytes_removed(rows, 30))
 
 
+@pytest.mark.parametrize("held", [1, 1 << 22])
+def test_large_prefixes_are_counted_window_by_window(docs, rows, monkeypatch, held):
+    from skein.llm import repeats
+
+    monkeypatch.setattr(repeats, "HELD", held)
+    for most in (1, 9, 40):
+        monkeypatch.setattr(repeats, "MOST", most)
+        assert got(op04_substring_dedup.digests(docs, 8, 3), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.windows_removed(rows, 8))
+        assert got(op06_suffix_array_dedup.dedup(docs, 30, 8, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.bytes_removed(rows, 30))
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 8, 50])
+def test_deep_nodes_are_the_windows_in_order(width):
+    words = np.random.default_rng(width).integers(0, 3, 400).astype(np.uint64) * np.uint64(1 << 62)
+    words[100:160] = words[200:260]
+    starts = np.arange(400 - width + 1)
+    nodes = op04_substring_dedup.deep_nodes(words, starts, width)
+    windows = [tuple(words[i : i + width].tolist()) for i in starts]
+    number = {w: i for i, w in enumerate(sorted(set(windows)))}
+    assert nodes.tolist() == [number[w] for w in windows]
+
+
+def test_windows_that_differ_in_the_last_word_stay(spark):
+    base = [f"w{i}" for i in range(49)]
+    texts = [" ".join([*base, last]) for last in ("one", "two", "one")] + [" ".join(["x", *base, "three"])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["n_removed"] for r in op04_substring_dedup.digests(frame).collect()}
+    assert out == {0: 0, 1: 0, 2: 50, 3: 50 - 50}
+
+
 def test_windows_that_agree_on_half_of_their_hash_differ(spark):
     from skein.llm import repeats
 
@@ -275,13 +312,14 @@ def test_long_texts_are_walked_in_parts(spark, monkeypatch):
     at = np.cumsum([0] + [len(t) for t in texts])
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     seen = {}
-    for h, row, start, lead, count, block, windows in repeats.suffixes(data, at, 20, 6):
-        hashes = windows(np.arange(len(h))).tolist()
+    for h, row, start, count, _, windows, contents in repeats.suffixes(data, at, 20, 6):
+        hashes, blocks = windows(np.arange(len(h))).to_pylist(), contents(np.arange(len(h))).to_pylist()
         for i in range(len(h)):
+            assert blocks[i] == texts[row[i]][start[i] : start[i] + count[i] + 19].encode()
             for j in range(count[i]):
                 text = texts[row[i]][start[i] + j : start[i] + j + 20]
                 assert len(text) == 20
-                seen.setdefault(text, set()).add((int(h[i]), int(lead[i]) - j, hashes.pop(0)))
+                seen.setdefault(text, set()).add((int(h[i]), hashes[i][j]))
     assert all(len(v) == 1 for v in seen.values())
     assert set(seen) == {t[i : i + 20] for t in texts for i in range(len(t) - 19)}
 
