@@ -1,6 +1,6 @@
 """Quality rules: counts that reject a document outright, then a hashed n-gram logistic regression with calibrated probabilities.
 
-The model is linear in the frequencies of hashed word 1- and 2-grams and byte 4-grams. It is fitted on the driver
+The model is linear in the frequencies of hashed word 1- and 2-grams and character 3- and 5-grams (of code points). It is fitted on the driver
 from at most SAMPLE labelled documents, chosen by hash of doc_id; that bound is a parameter, and the only one here. Every document is scored,
 in Arrow batches, from its whole text. Weights are rounded to integers, so that a document's score doesn't depend on the batch.
 """
@@ -20,9 +20,12 @@ U = np.uint64
 #: Labelled documents that the model is fitted on, at most; a fifth of them only calibrate it.
 SAMPLE = 1500
 #: Buckets of each kind of n-gram.
-BUCKET_BITS = 14
-KINDS = ("word 1-grams", "word 2-grams", "byte 4-grams")
+BUCKET_BITS = 16
+WORD_GRAMS, CHARACTER_GRAMS = (1, 2), (3, 5)
+KINDS = len(WORD_GRAMS) + len(CHARACTER_GRAMS)
 UNIT = 1 << 20
+#: Each step of the fit takes one of PARTS parts of the training rows, in turn.
+PARTS = 5
 #: Documents are kept from this calibrated probability of quality on.
 KEEP = 0.5
 MIN_WORDS = 10
@@ -74,20 +77,17 @@ def features(data: np.ndarray, at: np.ndarray):
     start, end, row = kernels.words(data, at)
     tokens, rows = kernels.word_hashes(data, start, end), np.arange(len(at))
     shift = U(64 - BUCKET_BITS)
-    yield (tokens >> shift).astype(np.int64), np.searchsorted(row, rows)
-    grams, first = kernels.grams(tokens, row, 2)
-    yield (grams >> shift).astype(np.int64), np.searchsorted(row[first], rows)
-    wide = data.astype(U)
-    for n in (4,):
-        if len(data) < n:
-            yield np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-            continue
-        value = np.zeros(len(data) - n + 1, U)
-        for i in range(n):
-            value |= wide[i : len(data) - n + 1 + i] << U(8 * i)
-        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        inside = np.flatnonzero(owner[: len(value)] == owner[n - 1 :])
-        yield ((value[inside] * U(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), np.searchsorted(owner[inside], rows)
+    for n in WORD_GRAMS:
+        grams, first = kernels.grams(tokens, row, n)
+        yield (grams >> shift).astype(np.int64), np.searchsorted(row[first], rows)
+    # a character starts at each byte that does not continue one
+    places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    owner = np.searchsorted(at, places[:-1], "right") - 1
+    hashes = kernels.prefix(data)
+    for n in CHARACTER_GRAMS:
+        first = np.flatnonzero(owner[: max(0, len(owner) - n + 1)] == owner[n - 1 :])
+        grams = kernels.span(hashes, places[first], places[first + n])
+        yield (grams >> shift).astype(np.int64), np.searchsorted(owner[first], rows)
 
 
 @dataclass
@@ -135,21 +135,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 1
     cols = [np.frombuffer(r["cols"], "<i4") for r in got]
     values = [np.frombuffer(r["values"], "<f4") for r in got]
     held = np.arange(len(y)) % 5 == 4 if min(y.sum(), len(y) - y.sum()) >= 20 else np.zeros(len(y), bool)
-    size = len(KINDS) << BUCKET_BITS
+    size = KINDS << BUCKET_BITS
     train = np.flatnonzero(~held)
     del got
-    col, value = np.concatenate([cols[i] for i in train]), np.concatenate([values[i] for i in train])
-    owner = np.repeat(np.arange(len(train), dtype=np.int32), [len(cols[i]) for i in train])
     # frequencies are small: columns are scaled to about unit size, and adaptive steps do the rest
-    spread = np.sqrt(np.bincount(col, value**2, size) / len(train)) + 1e-4
-    value = (value / spread[col] / np.sqrt(size)).astype(np.float32)
+    spread = np.zeros(size)
+    for i in train:
+        spread[cols[i]] += values[i].astype(float) ** 2
+    spread = np.sqrt(spread / len(train)) + 1e-4
     # the two classes weigh the same: a rare one is not given up for the common one
-    balance = np.where(y[train] == 1, 0.5 / max(y[train].mean(), 1e-9), 0.5 / max(1 - y[train].mean(), 1e-9))
+    balance = np.where(y == 1, 0.5 / max(y[train].mean(), 1e-9), 0.5 / max(1 - y[train].mean(), 1e-9))
     w, b = np.zeros(size), 0.0
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w.astype(np.float32)[col], len(train)) + b, -50, 50)))
-        g = ((p - y[train]) * balance / len(train)).astype(np.float32)
+        part = train[step % PARTS :: PARTS] if len(train) > 20 * PARTS else train
+        col, owner = np.concatenate([cols[i] for i in part]), np.repeat(np.arange(len(part)), [len(cols[i]) for i in part])
+        value = (np.concatenate([values[i] for i in part]) / spread[col] / np.sqrt(size)).astype(np.float32)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[col], len(part)) + b, -50, 50)))
+        g = (p - y[part]) * balance[part] / len(part)
         grad = np.append(np.bincount(col, value * g[owner], size) + penalty * w / np.sqrt(size), g.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-12) * 0.05
@@ -158,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 1
     logits = lambda rows: np.array([(weights[cols[i]] / UNIT * values[i]).sum() + b for i in rows])
     rows = np.flatnonzero(held) if held.any() else train
     scale, shift = platt(logits(rows), y[rows])
-    return Model(weights.reshape(len(KINDS), -1), b, scale, shift)
+    return Model(weights.reshape(KINDS, -1), b, scale, shift)
 
 
 def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -173,16 +176,22 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / max(np.abs(logit).max(), 1e-9)), float(beta[1])
 
 
-def judge(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability and kept.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept")
+
+
+def judge(docs: DataFrame, model: Model | None, keep: float = KEEP, prefix: str = "") -> DataFrame:
+    """docs with the columns ADDED, their names preceded by `prefix`.
 
-    docs needs text; other columns stay. Null text: no words, so the base rules fail. Without a model (no usable labels) the
+    docs needs text; other columns stay, but one that has the name of an added column gives way to it. Null text: no words, so the base rules fail. Without a model (no usable labels) the
     base rules decide alone and probability is null. Every row by itself; no shuffle.
     """
     if model is not None:
         model = docs.sparkSession.sparkContext.broadcast(model)
-    names = session.documents(docs).columns
+    added = [prefix + name for name in ADDED]
+    docs = session.documents(docs).drop(*added)
+    names = docs.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    types += "".join(f", `{name}` {kind}" for name, kind in zip(added, ["long"] * 5 + ["boolean", "double", "boolean"]))
 
     def run(batches):
         for batch in batches:
@@ -192,10 +201,10 @@ def judge(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
                 p = model.value.probability(data, at) if model is not None else np.full(end - first, np.nan)
                 kept = ~failed & (np.isnan(p) | (p >= keep))
                 part = batch.slice(first, end - first)
-                columns = [part.column(n) for n in names] + [pa.array(got[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(p, from_pandas=True), pa.array(kept)], [*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"])
+                columns = [part.column(n) for n in names] + [pa.array(got[k]) for k in ADDED[:5]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(p, from_pandas=True), pa.array(kept)], [*names, *added])
 
-    return docs.mapInArrow(run, f"{types}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+    return docs.mapInArrow(run, types)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
