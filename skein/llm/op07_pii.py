@@ -16,13 +16,17 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CARD_ALONE = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4})(?![0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+"
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "key", "secret")
 #: Words that raise a span's score when they stand in the CONTEXT characters before it.
-CONTEXT_WORDS = {"card": "card|credit|visa|payment|karte|tarjeta|carte", "iban": "iban|account|bank|konto|cuenta|compte", "ssn": "ssn|social|security|tax"}
+CONTEXT_WORDS = {"card": "card|credit|visa|payment|karte|tarjeta|carte", "iban": "iban|account|bank|konto|cuenta|compte", "ssn": "ssn|social|security|tax", "key": "key|aws|access", "secret": "password|passwd|pwd|secret|token|api.?key"}
 CONTEXT = 40
 #: What a pattern is worth alone, with its checksum, and how much context adds; a span of an added kind needs THRESHOLD.
-SCORES = {"card": (0.2, 0.4, 0.2), "iban": (0.2, 0.5, 0.2), "ssn": (0.3, 0.1, 0.3)}
+SCORES = {"card": (0.2, 0.4, 0.2), "iban": (0.2, 0.5, 0.2), "ssn": (0.3, 0.1, 0.3), "key": (0.4, 0.3, 0.2), "secret": (0.2, 0.1, 0.3)}
 THRESHOLD = 0.6
+#: Matches of a text whose places are summed together; their sums are added up in a second pass.
+RUN = 128
 
 
 def found(text: Column, pattern: str, gate: Column) -> Column:
@@ -30,17 +34,29 @@ def found(text: Column, pattern: str, gate: Column) -> Column:
 
     The texts between matches and the matches, in turn, give the places.
     """
+    spans_type = "array<struct<start:int,end:int,hit:string>>"
+    none = F.array().cast(spans_type)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("spans"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + F.length(x["gap"])
         end = begin + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("spans"))
 
+    def moved(state: Column, run: Column) -> Column:
+        own = F.transform(run["spans"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end"), s["hit"].alias("hit")))
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["runs"], F.array(own)).alias("runs"))
+
+    def placed(pairs: Column) -> Column:
+        """Places within each run of RUN matches, then those of the runs: no array grows by one match at a time beyond a run."""
+        first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        runs = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(RUN)), lambda i: F.aggregate(F.slice(pairs, i, F.lit(RUN)), first, step))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans_type}>").alias("runs")), moved, lambda s: F.flatten(s["runs"]))
+
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(gate & (F.size(hits) > 0), F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    # within transform the pairs are a value; named outside, each run would search the text again
+    return F.when(gate & (F.size(hits) > 0), F.transform(F.array(pairs), placed)[0]).otherwise(none)
 
 
 def _digits(hit: Column) -> Column:
@@ -74,6 +90,15 @@ def valid_ssn(hit: Column) -> Column:
     return ~area.isin("000", "666") & (area < "900") & (F.substring(hit, 5, 2) != "00") & (F.substring(hit, 8, 4) != "0000")
 
 
+def valid_key(hit: Column) -> Column:
+    return F.regexp_count(hit, F.lit("[0-9]")) >= 1
+
+
+def valid_secret(hit: Column) -> Column:
+    """Letters and digits in turn, not a word with a number nor a few signs over and over."""
+    return (F.regexp_count(hit, F.lit("[0-9]")) >= 3) & hit.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(hit, ""))) >= 7)
+
+
 def scored(text: Column, kind: str, spans: Column, valid) -> Column:
     """Spans of an added kind whose score reaches THRESHOLD."""
     plain, checked, near = SCORES[kind]
@@ -98,8 +123,9 @@ def detect(docs: DataFrame) -> DataFrame:
 
     base: email, ip, card and phone as the contract says; a match that fails its check is dropped, without another try inside
     it. spans: base, and those the method adds: cards standing alone inside a longer run of digits, iban with modulo 97, ssn
-    near its context words. Places are code points, end exclusive. Null text: empty, no spans. Other columns stay.
-    No shuffle; every row by itself.
+    near its context words, access keys by their form, and secrets: mixed runs of letters and digits after a word such as password.
+    Places are code points, end exclusive. Null text: empty, no spans. Other columns stay, but one that has the name
+    of an added column gives way to it. No shuffle; every row by itself.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     digits = text.rlike("[0-9]")
@@ -110,8 +136,10 @@ def detect(docs: DataFrame) -> DataFrame:
     alone = F.filter(scored(text, "card", found(text, CARD_ALONE, text.rlike("[0-9]{4}")), valid_card), lambda s: ~F.exists(F.col("__card"), lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"])))
     iban = scored(text, "iban", found(text, IBAN, text.rlike("[A-Z]{2}[0-9]{2}")), valid_iban)
     ssn = scored(text, "ssn", found(text, SSN, text.rlike("[0-9]-[0-9]{2}-[0-9]")), valid_ssn)
+    key = scored(text, "key", found(text, KEY, text.rlike("A[KS]IA[A-Z0-9]")), valid_key)
+    secret = scored(text, "secret", found(text, SECRET, text.rlike(f"(?i){CONTEXT_WORDS['secret']}")), valid_secret)
     docs = docs.withColumn("base", F.concat(*[_tagged(k, F.col(f"__{k}")) for k in KINDS[:4]]))
-    docs = docs.withColumn("spans", F.concat("base", _tagged("card", alone), _tagged("iban", iban), _tagged("ssn", ssn)))
+    docs = docs.withColumn("spans", F.concat("base", _tagged("card", alone), _tagged("iban", iban), _tagged("ssn", ssn), _tagged("key", key), _tagged("secret", secret)))
     for kind in KINDS[:4]:
         docs = docs.withColumn(f"n_{kind}", F.size(f"__{kind}").cast("long"))
     return docs.drop(*[f"__{k}" for k in KINDS[:4]])
@@ -119,7 +147,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return docs.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return docs.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def _sql_spans(kind: str, pattern: str, valid: str) -> str:
