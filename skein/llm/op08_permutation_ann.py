@@ -18,7 +18,7 @@ from skein.llm import session
 
 PIVOTS = 128
 POSTED = 4
-VISITED = 40
+VISITED = 28
 SHARE = 0.25
 LEAST = 64
 BLOCK = 50_000
@@ -44,6 +44,11 @@ def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
     return np.array(out)
 
 
+def _kind(pivots: int) -> type:
+    """Of a place among so many pivots."""
+    return np.uint8 if pivots <= 1 << 8 else np.uint16 if pivots <= 1 << 16 else np.uint32
+
+
 def _posted(pivots: np.ndarray, posted: int, visited: int, blocks: int, every: int):
     """Index entries (kind 0) of all vectors, and queries (kind 1), by pivot and block."""
 
@@ -58,8 +63,8 @@ def _posted(pivots: np.ndarray, posted: int, visited: int, blocks: int, every: i
             vectors = np.stack([values[offsets[i] : offsets[i + 1]] for i in same])
             ids = ids[same]
             order = np.argsort(-(vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ pivots.T, axis=1, kind="stable").astype(np.int32)
-            places = np.empty(order.shape, np.uint8)
-            np.put_along_axis(places, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.uint8), order.shape), 1)
+            places = np.empty(order.shape, _kind(len(pivots)))
+            np.put_along_axis(places, order, np.broadcast_to(np.arange(len(pivots), dtype=places.dtype), order.shape), 1)
             block = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
 
             def rows(which, pivot, block, kind):
@@ -77,28 +82,28 @@ def _posted(pivots: np.ndarray, posted: int, visited: int, blocks: int, every: i
     return run
 
 
-def _searched(share: float, least: int, nearest: int):
+def _searched(kind: type, share: float, least: int, nearest: int):
     """Over rows sorted by (pivot, block, kind, id): each query's nearest of the block, after the footrule and the exact cosine."""
 
     def run(batches):
         at, entries, ready = None, [], None
         for batch in batches:
             out = []
-            for pivot, block, kind, name, places, vec in zip(*[batch.column(c).to_pylist() for c in ("pivot", "block", "kind", "id", "places", "vec")]):
+            for pivot, block, asks, name, places, vec in zip(*[batch.column(c).to_pylist() for c in ("pivot", "block", "kind", "id", "places", "vec")]):
                 if (pivot, block) != at:
                     at, entries, ready = (pivot, block), [], None
-                if kind == 0:
+                if not asks:
                     entries.append((name, places, vec))
                     continue
                 if ready is None:
                     if not entries:
                         continue
                     vectors = np.frombuffer(b"".join(e[2] for e in entries)).reshape(len(entries), -1)
-                    ready = (np.array([e[0] for e in entries], np.int64), np.frombuffer(b"".join(e[1] for e in entries), np.uint8).reshape(len(entries), -1), vectors, np.sqrt((vectors * vectors).sum(1)))
+                    ready = (np.array([e[0] for e in entries], np.int64), np.frombuffer(b"".join(e[1] for e in entries), kind).reshape(len(entries), -1), vectors, np.sqrt((vectors * vectors).sum(1)))
                     entries = [None]
                 ids, all_places, vectors, norms = ready
-                own, query = np.frombuffer(places, np.uint8), np.frombuffer(vec)
-                footrule = (np.maximum(all_places, own) - np.minimum(all_places, own)).sum(1, dtype=np.uint16)
+                own, query = np.frombuffer(places, kind), np.frombuffer(vec)
+                footrule = (np.maximum(all_places, own) - np.minimum(all_places, own)).sum(1, dtype=np.uint64)
                 best = np.argsort(footrule, kind="stable")[: max(least, int(share * len(ids)))]
                 best = best[ids[best] != name]
                 if not len(best):
@@ -119,7 +124,8 @@ def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", ever
     """query_id, rank from 1, vec_id, score: for rows whose id is divisible by `every`, the nearest other rows found, by cosine.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than the pivots.
-    Ties go to the smaller vec_id. Rows that share an id are each other's own row. Extra columns are ignored; an empty table
+    Ties go to the smaller vec_id. Rows that share an id are each other's own row, and the nearest two
+    of their vectors give their score. Extra columns are ignored; an empty table
     gives no rows. All rows are indexed; a query that finds fewer than `nearest` reads all files instead.
     """
     spark = rows.sparkSession
@@ -139,14 +145,14 @@ def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", ever
         else:
             index = rows.mapInArrow(_posted(fitted, posted, 0, blocks, 0), schema).unionByName(asked.mapInArrow(_posted(fitted, 0, visited, blocks, 1), schema))
         index = index.repartition(session.partitions(spark), "pivot", "block").sortWithinPartitions("pivot", "block", "kind", "id")
-        return index.mapInArrow(_searched(share, LEAST, nearest), found_schema).dropDuplicates(["query_id", "vec_id"])
+        return index.mapInArrow(_searched(_kind(len(fitted)), share, LEAST, nearest), found_schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     first = session.checkpoint(found(None, visited))
     if visited < len(fitted):
         enough = first.groupBy("query_id").count().where(F.col("count") >= min(nearest, total - 1)).select(F.col("query_id").alias("id"))
         short = rows.where(F.col("id") % every == 0).join(enough, "id", "left_anti")
         if short.take(1):
-            first = first.unionByName(found(short, len(fitted))).dropDuplicates(["query_id", "vec_id"])
+            first = first.unionByName(found(short, len(fitted))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
