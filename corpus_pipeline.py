@@ -15,7 +15,7 @@ from skein.llm import op02_mixing, op03_jaccard_join, op05_quality, op09_line_de
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the model keep. The model is fitted on the labelled rows among docs."""
     model = op05_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op05_quality.judge(docs, model).where("kept").select(*docs.columns)
+    return op05_quality.judge(docs, model, prefix="__").where("__kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
