@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skein import schema
 from skein.functions import fuzzy
 
 CUTOFF = 93.0
 LENGTHS = 2
 PREFIX = 10
-#: Terms that a worker may hold; larger vocabularies go through fuzzy_join.
-MOST_TERMS = 200_000
+#: Rows of a table that may be broadcast; a larger one is joined by shuffles.
+SMALL = 1_000_000
 
 
 def vocabulary(terms: DataFrame, label: str = "label", term: str = "term") -> DataFrame:
@@ -51,112 +49,116 @@ def fuzzy_members(df: DataFrame, column: str, terms: DataFrame, above: float = 9
     return df.join(hits, df[column] == hits["__q"], "left_semi")
 
 
-class Matcher:
-    """Best scores against one label's terms, for the tagger's short strings.
+def _scheme(length: Column, cutoff: float, lengths: int) -> tuple[Column, Column]:
+    """Insertions and deletions that the cutoff leaves a text of that length, and the length of its segments.
+
+    Of one segment more than there are such edits, at least one stands whole in the term, moved by as many places at most.
+    """
+    edits = F.floor(F.lit(1 - cutoff / 100) * (2 * length + lengths) + 1e-9).cast("int")
+    return edits, F.greatest(F.lit(1), F.floor(length / (edits + 1)).cast("int"))
+
+
+def _segments(texts: DataFrame, cutoff: float, lengths: int) -> DataFrame:
+    """texts (text) with (__n, __at, __piece) of each segment."""
+    edits, size = _scheme(F.length("text"), cutoff, lengths)
+    rows = texts.withColumn("__n", F.length("text")).withColumn("__size", size).withColumn("__at", F.explode(F.sequence(F.lit(0), edits)))
+    return rows.withColumn("__piece", F.col("text").substr(F.col("__at") * F.col("__size") + 1, F.col("__size"))).drop("__size")
+
 
-    A score at the cutoff leaves few insertions and deletions, d. Of d + 1 equal segments of the query at least one then stands whole in
-    the term, moved by d places at most; terms are indexed by their segments and places, and only those found so are scored.
+def _pieces(terms: DataFrame, cutoff: float, lengths: int) -> DataFrame:
+    """(__n, __at, __piece, term): what a text of length __n has in its segment __at if it is near enough to term."""
+    rows = terms.select("term").distinct().withColumn("__n", F.explode(F.sequence(F.length("term") - lengths, F.length("term") + lengths))).where("__n > 0")
+    edits, size = _scheme(F.col("__n"), cutoff, lengths)
+    rows = rows.withColumn("__edits", edits).withColumn("__size", size).withColumn("__at", F.explode(F.sequence(F.lit(0), "__edits")))
+    low = F.greatest(F.lit(0), F.col("__at") * F.col("__size") - F.col("__edits"))
+    rows = rows.withColumn("__place", F.explode(F.sequence(low, F.col("__at") * F.col("__size") + F.col("__edits"))))
+    piece = F.col("term").substr(F.col("__place") + 1, F.col("__size"))
+    return rows.withColumn("__piece", piece).where(F.length("__piece") == F.col("__size")).select("__n", "__at", "__piece", "term").distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has up to SMALL rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def scored(texts: DataFrame, terms: DataFrame, cutoff: float = CUTOFF, lengths: int = LENGTHS) -> DataFrame:
+    """(text, label, score): the best score at the cutoff or above of each distinct text against the terms (label, term) of each label.
+
+    An equi join on length and one segment; edit distance, then the score, are counted for pairs that meet there only.
     """
+    index = _pieces(terms, cutoff, lengths)
+    keys = ["__n", "__at", "__piece"]
+    met = _segments(texts, cutoff, lengths).join(_small(index.select(*keys).distinct()), keys, "left_semi").select("text").distinct()
+    pairs = _segments(met, cutoff, lengths).join(_small(index), keys)
+    edits = F.floor(F.lit(1 - cutoff / 100) * (F.length("text") + F.length("term")) + 1e-9).cast("int")
+    pairs = pairs.where(F.levenshtein("text", "term") <= edits).select("text", "term").distinct()
+    pairs = pairs.withColumn("score", F.when(F.col("text") == F.col("term"), 100.0).otherwise(fuzzy.ratio_column("text", "term"))).where(F.col("score") >= cutoff)
+    return pairs.join(terms.select("label", "term"), "term").groupBy("text", "label").agg(F.max("score").alias("score"))
+
+
+def prefixes(tokens: Column, longest: int, prefix: int = PREFIX) -> Column:
+    """For each token, the texts of the prefixes of its run of O tokens, shortest first: `prefix` tokens and `longest` characters at most."""
+    start = F.struct(F.lit(None).cast("int").alias("end"), F.lit("").alias("text"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, t: Column) -> Column:
+        gap = F.coalesce(t["offset"]["start"] - state["end"], F.lit(0))
+        text = F.when(t["prediction"] == "O", F.concat(state["text"], F.repeat(F.lit(" "), gap), t["string"]))
+        more = F.length(text) <= longest  # null from the first token on that is not O
+        return F.struct(t["offset"]["end"].alias("end"), text.alias("text"), F.when(more, F.concat(state["out"], F.array(text))).otherwise(state["out"]).alias("out"))
+
+    return F.transform(tokens, lambda t, i: F.when(t["prediction"] == "O", F.aggregate(F.slice(tokens, i + 1, F.lit(prefix)), start, step, lambda s: s["out"])))
+
+
+_HITS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("first", T.IntegerType()), ("n", T.IntegerType()), ("label", T.StringType()), ("after", T.IntegerType()))]))
+
+
+@F.arrow_udf(_HITS)
+def _left_to_right(column: pa.Array) -> pa.Array:
+    """Of hits (first, n, label) in order, those that begin where no earlier one that is kept reaches, with the end of the one before."""
+    out = []
+    for hits in column.to_pylist():
+        kept, after = [], 0
+        for hit in hits:
+            if hit["first"] >= after:
+                kept.append({**hit, "after": after})
+                after = hit["first"] + hit["n"]
+        out.append(kept)
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("label", pa.string()), ("after", pa.int32())])))
+
+
+def _merged(run: Column, label: Column) -> Column:
+    """A run of tokens as one with the label; pieces lose their marks."""
+    first, last = run[0], F.element_at(run, -1)
+    start = F.struct(first["offset"]["end"].alias("end"), first["string"].alias("text"))
+    step = lambda s, t: F.struct(t["offset"]["end"].alias("end"), F.concat(s["text"], F.repeat(F.lit(" "), t["offset"]["start"] - s["end"]), F.ltrim(t["string"], F.lit("#"))).alias("text"))
+    text = F.aggregate(F.slice(run, F.lit(2), F.size(run)), start, step, lambda s: s["text"])
+    offset = F.struct(first["offset"]["start"].alias("start"), last["offset"]["end"].alias("end"))
+    return F.struct(text.alias("string"), offset.alias("offset"), label.alias("prediction"), first["gold_label"].alias("gold_label"), first["prob"].alias("prob"))
+
+
+def tagged(df: DataFrame, tokens: str, terms: DataFrame, cutoff: float = CUTOFF, prefix: int = PREFIX) -> DataFrame:
+    """df with its array of tokens retagged from terms (label, term).
+
+    Left to right: at an O token, the best-scoring prefix of its run of O tokens becomes one token with the label; the shortest
+    prefix and the first label by name win ties. Other tokens pass. Null and empty arrays stay as they are.
 
-    def __init__(self, terms: list[str], cutoff: float = CUTOFF, lengths: int = LENGTHS):
-        self.cutoff, self.lengths = cutoff, lengths
-        self.terms = set(terms)
-        self.sizes = {n for n in range(1, max(map(len, terms), default=0) + lengths + 1) if any(abs(n - k) <= lengths for k in {len(t) for t in terms})}
-        self.index: dict[tuple[int, str], list[str]] = defaultdict(list)
-        self.cache: dict[str, float] = {}
-        for term in sorted(self.terms):
-            pieces = {self.segment(n)[1] for n in range(max(1, len(term) - lengths), len(term) + lengths + 1) if self.segment(n)[0]}
-            for size in pieces:
-                for at in range(len(term) - size + 1):
-                    self.index[at, term[at : at + size]].append(term)
-        self.pieces = {piece for _, piece in self.index}
-
-    def segment(self, n: int) -> tuple[int, int]:
-        """Edits that the cutoff allows a query of length n, and the length of its segments."""
-        edits = int((1 - self.cutoff / 100) * (2 * n + self.lengths) + 1e-9)
-        return edits, max(1, n // (edits + 1))
-
-    def score(self, query: str) -> float:
-        if len(query) not in self.sizes:
-            return 0.0
-        if query in self.terms:
-            return 100.0
-        if query not in self.cache:
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            self.cache[query] = self._score(query)
-        return self.cache[query]
-
-    def _score(self, query: str) -> float:
-        n = len(query)
-        edits, size = self.segment(n)
-        if not edits:
-            return 0.0
-        near: set[str] = set()
-        for at in range(0, size * (edits + 1), size):
-            piece = query[at : at + size]
-            if piece in self.pieces:
-                for place in range(max(0, at - edits), at + edits + 1):
-                    near.update(self.index.get((place, piece), ()))
-        best = max((fuzzy.ratio(query, t) for t in near if abs(len(t) - n) <= self.lengths), default=0.0)
-        return best if best >= self.cutoff else 0.0
-
-
-def tag_tokens(tokens: list[dict], matchers: list[tuple[str, Matcher]], prefix: int = PREFIX) -> list[dict]:
-    """Left to right: at an O token, the best-scoring prefix of its run of O tokens becomes one token with the label; the shortest
-    prefix and the first label win ties. Others pass."""
-    longest = max((max(m.sizes, default=0) for _, m in matchers), default=0)
-    fields = [(t["string"], t["offset"]["start"], t["offset"]["end"], t["prediction"] == "O") for t in tokens]
-    out, i = [], 0
-    while i < len(tokens):
-        best, label, length = 0.0, None, 0
-        if fields[i][3]:
-            text, end, texts = "", fields[i][1], []
-            for string, start, stop, plain in fields[i : i + prefix]:
-                if not plain:
-                    break
-                text += " " * (start - end) + string
-                end = stop
-                if len(text) > longest:
-                    break
-                texts.append(text)
-            for name, matcher in matchers:
-                for n, text in enumerate(texts):
-                    if len(text) in matcher.sizes:
-                        score = matcher.score(text)
-                        if score > best:
-                            best, label, length = score, name, n + 1
-        if not length:
-            out.append(tokens[i])
-            i += 1
-            continue
-        run = tokens[i : i + length]
-        string = run[0]["string"]
-        for a, b in zip(run, run[1:]):
-            string += " " * (b["offset"]["start"] - a["offset"]["end"]) + b["string"].lstrip("#")
-        out.append({**run[0], "string": string, "offset": {"start": run[0]["offset"]["start"], "end": run[-1]["offset"]["end"]}, "prediction": label})
-        i += length
-    return out
-
-
-def tagged(df: DataFrame, tokens: str, terms: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """df with its array of tokens retagged from terms (label, term); labels in order of name.
-
-    The vocabulary is counted first: up to MOST_TERMS terms go to the workers, more are refused (split them, or use fuzzy_join).
+    The prefixes' distinct texts are scored against the terms by joins, for vocabularies of any size, and the hits go back to their
+    tokens by a hash of the array, so rows with equal tokens share them. Python sees a document's hits, not its tokens.
     """
-    held = terms.select("label", "term").limit(MOST_TERMS + 1).collect()
-    if len(held) > MOST_TERMS:
-        raise ValueError(f"over {MOST_TERMS} terms")
-    lists = defaultdict(list)
-    for row in held:
-        lists[row["label"]].append(row["term"])
-    shared = df.sparkSession.sparkContext.broadcast(dict(sorted(lists.items())))
-    made: list = []
-
-    @F.arrow_udf(f"array<{schema.TOKEN}>")
-    def retag(column: pa.Array) -> pa.Array:
-        if not made:
-            made.extend((label, Matcher(own, cutoff)) for label, own in shared.value.items())
-        return pa.array([None if doc is None else tag_tokens(doc, made) for doc in column.to_pylist()], column.type)
-
-    return df.withColumn(tokens, retag(tokens))
+    terms = terms.select("label", "term").where("term <> ''").distinct()
+    longest = terms.agg(F.max(F.length("term")).alias("n")).first()["n"]
+    if longest is None:
+        return df
+    key = [F.xxhash64(tokens).alias("__a"), F.xxhash64(F.lit(1), tokens).alias("__b")]
+    texts = df.select(*key, F.posexplode(prefixes(F.col(tokens), longest + LENGTHS, prefix)).alias("first", "texts"))
+    texts = texts.select("__a", "__b", "first", F.posexplode("texts").alias("n", "text"))
+    best = scored(texts.select("text"), terms, cutoff)
+    hits = texts.join(best, "text").groupBy("__a", "__b", "first").agg(F.min(F.struct((-F.col("score")).alias("score"), "label", (F.col("n") + 1).alias("n"))).alias("hit"))
+    hits = hits.groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct("first", F.col("hit.n").alias("n"), F.col("hit.label").alias("label")))).alias("__hits"))
+    hits = hits.withColumn("__hits", _left_to_right("__hits"))
+    column, found = F.col(tokens), F.col("__hits")
+    between = F.transform(found, lambda h: F.concat(F.slice(column, h["after"] + 1, h["first"] - h["after"]), F.array(_merged(F.slice(column, h["first"] + 1, h["n"]), h["label"]))))
+    end = F.element_at(found, -1)["first"] + F.element_at(found, -1)["n"]
+    retagged = F.concat(F.flatten(between), F.slice(column, end + 1, F.size(column)))
+    keyed = df.select("*", *key).join(hits, ["__a", "__b"], "left")
+    return keyed.withColumn(tokens, F.when(found.isNotNull(), retagged).otherwise(column)).select(*df.columns)
