@@ -13,50 +13,68 @@ from pyspark.sql import types as T
 
 #: A discontinued mention goes on under its id over this many other tokens.
 GAP = 3
+#: Tags of tokens outside of mentions.
+PLAIN = ("O", "#")
+#: A genus and a species.
+SHORT = re.compile(r"(\w)\w+\.? (\w+)")
+
+
+def _runs(tokens: list[dict]) -> list[tuple[bool, list[dict]]]:
+    """(mention?, tokens) in turn: a mention begins at B- or after a plain token, and takes in the tags that follow it."""
+    out: list[tuple[bool, list[dict]]] = []
+    for token in tokens:
+        tag = token["prediction"]
+        tagged = tag not in PLAIN
+        if out and out[-1][0] == tagged and not tag.startswith("B-"):
+            out[-1][1].append(token)
+        else:
+            out.append((tagged, [token]))
+    return out
+
+
+def _spaced(run: list[dict], at: int) -> tuple[str, str]:
+    """The space before a run that begins after place `at`, and its text."""
+    ends = [at, *(t["offset"]["end"] for t in run)]
+    gaps = [" " * (t["offset"]["start"] - end) for t, end in zip(run, ends)]
+    return gaps[0], "".join(gap + t["string"] for gap, t in zip(["", *gaps[1:]], run))
+
+
+def _names(text: str, kind: str) -> list[str]:
+    """What a mention may be called: as it stands, and bacteria by their short form too."""
+    return [text, SHORT.sub(r"\1. \2", text)] if kind == "Bacteria" else [text]
 
 
 def serialised(tokens: list[dict], namespace: str = "ex", uri: str = "https://example.org/schema/") -> str:
     """Merged tokens as a div whose entity spans carry ids; equal mentions of one type share an id.
 
-    The text before the first token is spaces. B- starts an entity; another tag right after a span extends it, whatever its type; else it goes
-    on under the last id if type and gap allow, or starts a new one. Types compare without their B- or I-. Texts are escaped.
+    The text before the first token is spaces. A mention without B- goes on under the id before it if type and gap allow; any other
+    is numbered anew. Then a mention whose name, or else its short form, an earlier one of its type claimed takes that one's id,
+    and one that finds none claims its names. Types compare without their B- or I-. Texts are escaped.
     """
-    parts: list = []  # strings, or [text, type, id]
-    number, last, gap, at = 0, "", 0, 0
-    for token in tokens:
-        space, tag = " " * (token["offset"]["start"] - at), token["prediction"]
-        kind = re.sub("[BI]-", "", tag)
-        if tag in ("O", "#"):
-            parts.append(space + token["string"])
-            gap += 1
-        elif not tag.startswith("B-") and parts and isinstance(parts[-1], list):
-            parts[-1][0] += space + token["string"]
-        else:
-            if tag.startswith("B-") or kind != last or gap > GAP:
-                number += 1
-                last = kind
-            parts += [space, [token["string"], kind, number]]
-            gap = 0
-        at = token["offset"]["end"]
-    same: dict[tuple[str, str], int] = {}
-    out = f"<div prefix={quoteattr(f'{namespace}: {uri}')}>"
-    for part in parts:
-        if isinstance(part, str):
-            out += escape(part)
+    out = [f"<div prefix={quoteattr(f'{namespace}: {uri}')}>"]
+    number, before, gap, at = 0, "", 0, 0
+    claimed: dict[tuple[str, str], int] = {}
+    for mention, run in _runs(tokens):
+        space, text = _spaced(run, at)
+        at = run[-1]["offset"]["end"]
+        out.append(space)
+        if not mention:
+            out.append(escape(text))
+            gap = len(run)
             continue
-        text, kind, entity = part
-        kind = kind if kind == "OOS" else f"{namespace}:{kind}"
-        short = re.sub(r"(\w)\w+\.? (\w+)", r"\1. \2", text) if kind == f"{namespace}:Bacteria" else ""
-        if (text, kind) in same:
-            entity = same[text, kind]
-        elif (short, kind) in same:
-            entity = same[short, kind]
-        else:
-            same[text, kind] = entity
-            if short:
-                same[short, kind] = entity
-        out += f'<span class="entity" resource="#T{entity}" typeof="{kind}">{escape(text)}</span>'
-    return out + "</div>"
+        tag = run[0]["prediction"]
+        kind = re.sub("[BI]-", "", tag)
+        if tag.startswith("B-") or kind != before or gap > GAP:
+            number, before = number + 1, kind
+        gap = 0
+        names = [(name, kind) for name in _names(text, kind)]
+        entity = next((claimed[name] for name in names if name in claimed), None)
+        if entity is None:
+            entity = number
+            claimed.update(dict.fromkeys(names, number))
+        of_type = kind if kind == "OOS" else f"{namespace}:{kind}"
+        out.append(f'<span class="entity" resource="#T{entity}" typeof="{of_type}">{escape(text)}</span>')
+    return "".join(out) + "</div>"
 
 
 def markup(tokens: Column, namespace: str = "ex", uri: str = "https://example.org/schema/") -> Column:
