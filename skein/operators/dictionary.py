@@ -49,29 +49,40 @@ def fuzzy_members(df: DataFrame, column: str, terms: DataFrame, above: float = 9
     return df.join(hits, df[column] == hits["__q"], "left_semi")
 
 
-def _scheme(length: Column, cutoff: float, lengths: int) -> tuple[Column, Column]:
-    """Insertions and deletions that the cutoff leaves a text of that length, and the length of its segments.
+def _edits(total: Column, cutoff: float) -> Column:
+    """Insertions and deletions that the cutoff leaves two texts of so many characters in all."""
+    return F.floor(F.lit(1 - cutoff / 100) * total + 1e-9).cast("int")
 
-    Of one segment more than there are such edits, at least one stands whole in the term, moved by as many places at most.
-    """
-    edits = F.floor(F.lit(1 - cutoff / 100) * (2 * length + lengths) + 1e-9).cast("int")
-    return edits, F.greatest(F.lit(1), F.floor(length / (edits + 1)).cast("int"))
+
+def _cut(length: Column, edits: Column) -> tuple[Column, Column]:
+    """Start and size of segment __at of a text that is cut into one segment more than it may have edits."""
+    start = F.floor(F.col("__at") * length / (edits + 1)).cast("int")
+    return start, F.floor((F.col("__at") + 1) * length / (edits + 1)).cast("int") - start
 
 
 def _segments(texts: DataFrame, cutoff: float, lengths: int) -> DataFrame:
-    """texts (text) with (__n, __at, __piece) of each segment."""
-    edits, size = _scheme(F.length("text"), cutoff, lengths)
-    rows = texts.withColumn("__n", F.length("text")).withColumn("__size", size).withColumn("__at", F.explode(F.sequence(F.lit(0), edits)))
-    return rows.withColumn("__piece", F.col("text").substr(F.col("__at") * F.col("__size") + 1, F.col("__size"))).drop("__size")
+    """texts (text and others) with (__n, __at, __piece) of each segment."""
+    n = F.length("text")
+    rows = texts.withColumn("__n", n).withColumn("__at", F.explode(F.sequence(F.lit(0), _edits(2 * n + lengths, cutoff))))
+    start, size = _cut(F.col("__n"), _edits(2 * F.col("__n") + lengths, cutoff))
+    return rows.withColumn("__piece", F.col("text").substr(start + 1, size))
 
 
 def _pieces(terms: DataFrame, cutoff: float, lengths: int) -> DataFrame:
-    """(__n, __at, __piece, term): what a text of length __n has in its segment __at if it is near enough to term."""
+    """(__n, __at, __piece, term): what a text of length __n has in its segment __at if that one has no edit and the text is near enough to term.
+
+    Edits have the parity of the difference of the lengths. No edit stands before the first segment, and all of them before the last one, which
+    gives these their places in the term; those between move by the edits at most. Without any edit the first segment will do.
+    """
     rows = terms.select("term").distinct().withColumn("__n", F.explode(F.sequence(F.length("term") - lengths, F.length("term") + lengths))).where("__n > 0")
-    edits, size = _scheme(F.col("__n"), cutoff, lengths)
-    rows = rows.withColumn("__edits", edits).withColumn("__size", size).withColumn("__at", F.explode(F.sequence(F.lit(0), "__edits")))
-    low = F.greatest(F.lit(0), F.col("__at") * F.col("__size") - F.col("__edits"))
-    rows = rows.withColumn("__place", F.explode(F.sequence(low, F.col("__at") * F.col("__size") + F.col("__edits"))))
+    rows = rows.withColumn("__more", F.length("term") - F.col("__n")).withColumn("__most", _edits(F.length("term") + F.col("__n"), cutoff))
+    rows = rows.where(F.abs("__more") <= F.col("__most")).withColumn("__most", F.col("__most") - (F.col("__most") - F.abs("__more")) % 2)
+    rows = rows.withColumn("__edits", _edits(2 * F.col("__n") + lengths, cutoff))
+    rows = rows.withColumn("__at", F.explode(F.sequence(F.lit(0), F.when(F.col("__most") == 0, 0).otherwise(F.col("__edits")))))
+    low = F.when(F.col("__at") == 0, 0).when(F.col("__at") == F.col("__edits"), F.col("__more")).otherwise(-(F.col("__most") - F.col("__more")) / 2).cast("int")
+    high = F.when(F.col("__at") == 0, 0).when(F.col("__at") == F.col("__edits"), F.col("__more")).otherwise((F.col("__most") + F.col("__more")) / 2).cast("int")
+    start, size = _cut(F.col("__n"), F.col("__edits"))
+    rows = rows.withColumn("__size", size).withColumn("__place", F.explode(F.transform(F.sequence(low, high), lambda move: start + move))).where("__place >= 0")
     piece = F.col("term").substr(F.col("__place") + 1, F.col("__size"))
     return rows.withColumn("__piece", piece).where(F.length("__piece") == F.col("__size")).select("__n", "__at", "__piece", "term").distinct()
 
@@ -82,31 +93,30 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def scored(texts: DataFrame, terms: DataFrame, cutoff: float = CUTOFF, lengths: int = LENGTHS) -> DataFrame:
-    """(text, label, score): the best score at the cutoff or above of each distinct text against the terms (label, term) of each label.
+    """texts (text and others) with label, term and score of each term (label, term) whose score reaches the cutoff, some more than once.
 
-    An equi join on length and one segment; edit distance, then the score, are counted for pairs that meet there only.
+    An equi join on length and one segment; edit distance, then the score, are counted for pairs that meet there only. Terms whose length differs
+    by more than `lengths` don't count.
     """
-    index = _pieces(terms, cutoff, lengths)
-    keys = ["__n", "__at", "__piece"]
-    met = _segments(texts, cutoff, lengths).join(_small(index.select(*keys).distinct()), keys, "left_semi").select("text").distinct()
-    pairs = _segments(met, cutoff, lengths).join(_small(index), keys)
-    edits = F.floor(F.lit(1 - cutoff / 100) * (F.length("text") + F.length("term")) + 1e-9).cast("int")
-    pairs = pairs.where(F.levenshtein("text", "term") <= edits).select("text", "term").distinct()
+    pairs = _segments(texts, cutoff, lengths).join(_small(_pieces(terms, cutoff, lengths)), ["__n", "__at", "__piece"])
+    pairs = pairs.where(F.levenshtein("text", "term") <= _edits(F.length("text") + F.length("term"), cutoff))
     pairs = pairs.withColumn("score", F.when(F.col("text") == F.col("term"), 100.0).otherwise(fuzzy.ratio_column("text", "term"))).where(F.col("score") >= cutoff)
-    return pairs.join(terms.select("label", "term"), "term").groupBy("text", "label").agg(F.max("score").alias("score"))
-
-
-def prefixes(tokens: Column, longest: int, prefix: int = PREFIX) -> Column:
-    """For each token, the texts of the prefixes of its run of O tokens, shortest first: `prefix` tokens and `longest` characters at most."""
-    start = F.struct(F.lit(None).cast("int").alias("end"), F.lit("").alias("text"), F.array().cast("array<string>").alias("out"))
+    return pairs.join(_small(terms.select("label", "term").distinct()), "term").select(*texts.columns, "label", "term", "score")
 
-    def step(state: Column, t: Column) -> Column:
-        gap = F.coalesce(t["offset"]["start"] - state["end"], F.lit(0))
-        text = F.when(t["prediction"] == "O", F.concat(state["text"], F.repeat(F.lit(" "), gap), t["string"]))
-        more = F.length(text) <= longest  # null from the first token on that is not O
-        return F.struct(t["offset"]["end"].alias("end"), text.alias("text"), F.when(more, F.concat(state["out"], F.array(text))).otherwise(state["out"]).alias("out"))
 
-    return F.transform(tokens, lambda t, i: F.when(t["prediction"] == "O", F.aggregate(F.slice(tokens, i + 1, F.lit(prefix)), start, step, lambda s: s["out"])))
+def prefixes(df: DataFrame, tokens: str, longest: int, prefix: int = PREFIX) -> DataFrame:
+    """For each token, the texts of the prefixes of its run of O tokens, as (first, n tokens, text) beside df's other columns: `prefix` tokens
+    and `longest` characters at most. All prefixes of one token come first, then of two, each from those before."""
+    plain = lambda t: F.when(t["prediction"] == "O", t["string"])
+    gap = lambda t, i: F.repeat(F.lit(" "), t["offset"]["start"] - F.get(F.col(tokens), i - 1)["offset"]["end"])
+    rest = [c for c in df.columns if c != tokens]
+    rows = df.select(*rest, F.transform(tokens, plain).alias("__1"), F.transform(tokens, lambda t, i: F.concat(F.coalesce(gap(t, i), F.lit("")), plain(t))).alias("__next"))
+    for n in range(2, prefix + 1):
+        longer = lambda a, b: F.when(F.length(a) + F.length(b) <= longest, F.concat(a, b))
+        rows = rows.withColumn(f"__{n}", F.zip_with(f"__{n - 1}", F.slice("__next", F.lit(n), F.greatest(F.lit(0), F.size("__next"))), longer))
+    rows = rows.select(*rest, F.posexplode(F.array(*[f"__{n}" for n in range(1, prefix + 1)])).alias("n", "texts"))
+    rows = rows.select(*rest, (F.col("n") + 1).alias("n"), F.posexplode("texts").alias("first", "text"))
+    return rows.where(F.length("text").between(1, longest))
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("first", T.IntegerType()), ("n", T.IntegerType()), ("label", T.StringType()), ("after", T.IntegerType()))]))
@@ -142,7 +152,7 @@ def tagged(df: DataFrame, tokens: str, terms: DataFrame, cutoff: float = CUTOFF,
     Left to right: at an O token, the best-scoring prefix of its run of O tokens becomes one token with the label; the shortest
     prefix and the first label by name win ties. Other tokens pass. Null and empty arrays stay as they are.
 
-    The prefixes' distinct texts are scored against the terms by joins, for vocabularies of any size, and the hits go back to their
+    The prefixes' texts are scored against the terms by joins, for vocabularies of any size, and the hits go back to their
     tokens by a hash of the array, so rows with equal tokens share them. Python sees a document's hits, not its tokens.
     """
     terms = terms.select("label", "term").where("term <> ''").distinct()
@@ -150,10 +160,8 @@ def tagged(df: DataFrame, tokens: str, terms: DataFrame, cutoff: float = CUTOFF,
     if longest is None:
         return df
     key = [F.xxhash64(tokens).alias("__a"), F.xxhash64(F.lit(1), tokens).alias("__b")]
-    texts = df.select(*key, F.posexplode(prefixes(F.col(tokens), longest + LENGTHS, prefix)).alias("first", "texts"))
-    texts = texts.select("__a", "__b", "first", F.posexplode("texts").alias("n", "text"))
-    best = scored(texts.select("text"), terms, cutoff)
-    hits = texts.join(best, "text").groupBy("__a", "__b", "first").agg(F.min(F.struct((-F.col("score")).alias("score"), "label", (F.col("n") + 1).alias("n"))).alias("hit"))
+    texts = prefixes(df.select(*key, tokens), tokens, longest + LENGTHS, prefix)
+    hits = scored(texts, terms, cutoff).groupBy("__a", "__b", "first").agg(F.min(F.struct((-F.col("score")).alias("score"), "label", "n")).alias("hit"))
     hits = hits.groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct("first", F.col("hit.n").alias("n"), F.col("hit.label").alias("label")))).alias("__hits"))
     hits = hits.withColumn("__hits", _left_to_right("__hits"))
     column, found = F.col(tokens), F.col("__hits")

@@ -127,6 +127,24 @@ def test_tagger_equals_a_plain_loop(spark, monkeypatch, small):
         assert [(t["string"], t["prediction"]) for t in got[i]] == retagged(doc, terms, 6)
 
 
+def test_every_near_pair_is_scored(spark):
+    rng = random.Random(4)
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 34))) for _ in range(150)})
+    texts = set(terms)
+    for term in terms:
+        for _ in range(4):
+            w = list(term)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "x"])
+            texts.add("".join(w))
+    texts.discard("")
+    want = {(q, t) for q in texts for t in terms if abs(len(q) - len(t)) <= 2 and fuzzy.ratio(q, t) >= 93}
+    got = dictionary.scored(spark.createDataFrame([(t,) for t in sorted(texts)], "text string"), spark.createDataFrame([("x", t) for t in terms], "label string, term string")).collect()
+    assert {(r["text"], r["term"]) for r in got} == want
+    assert all(r["score"] == pytest.approx(fuzzy.ratio(r["text"], r["term"])) for r in got)
+
+
 @given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_lcs(a, b):
