@@ -5,6 +5,7 @@ from __future__ import annotations
 import tomllib
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -117,11 +118,14 @@ class _Table(HTMLParser):
 def table_rows(html: Column, row_prefix: str) -> Column:
     """array<array<string>>: the rows of tables whose cells have ids `<row_prefix><row>...c<column>`, missing cells empty."""
 
-    @F.udf(ArrayType(ArrayType(StringType())))
-    def rows(page):
+    def cells(page):
         parser = _Table(row_prefix)
         parser.feed(page or "")
-        return [[cells.get(i, "").strip() for i in range(max(cells) + 1)] for cells in parser.rows.values()]
+        return [[row.get(i, "").strip() for i in range(max(row) + 1)] for row in parser.rows.values()]
+
+    @F.arrow_udf(ArrayType(ArrayType(StringType())))
+    def rows(pages: pa.Array) -> pa.Array:
+        return pa.array([cells(page) for page in pages.to_pylist()], pa.list_(pa.list_(pa.string())))
 
     return rows(html)
 

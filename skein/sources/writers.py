@@ -38,19 +38,44 @@ def append_new(df: DataFrame, path: str, key: str, force: bool = False) -> None:
 
 
 def upsert(df: DataFrame, path: str, key: str) -> None:
-    """The table at path with df's rows in place of those of their keys. The new table is whole before the old one goes."""
+    """The table at path with df's rows in place of those of their keys. One writer at a time.
+
+    The new table is written whole beside the old one, which steps aside before the new one takes its place. A run that breaks off leaves one of
+    them whole, and the next upsert, or recover(), puts it back.
+    """
     spark = df.sparkSession
+    recover(spark, path)
     if not exists(spark, path):
         df.write.parquet(path)
         return
-    old = spark.read.parquet(path)
-    catalogue.upserted(old, df, key).write.mode("overwrite").parquet(f"{path}.next")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.next"), spark._jvm.org.apache.hadoop.fs.Path(path))
+    new, old = f"{path}.next", f"{path}.before"
+    catalogue.upserted(spark.read.parquet(path), df, key).write.mode("overwrite").parquet(new)
+    move(spark, path, old)
+    move(spark, new, path)
+    remove(spark, old)
     spark.catalog.refreshByPath(path)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """End an upsert that broke off. The old table steps aside only when the new one is whole."""
+    old = f"{path}.before"
+    if exists(spark, old):
+        if not exists(spark, path):
+            move(spark, f"{path}.next", path)
+        remove(spark, old)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    if not hadoop(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(hadoop(source), hadoop(target)):
+        raise OSError(f"{source} can't be renamed to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def clear(spark: SparkSession, path: str) -> None:
     """All rows go; the schema stays."""
     empty = spark.createDataFrame([], spark.read.parquet(path).schema)

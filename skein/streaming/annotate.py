@@ -20,14 +20,14 @@ def run(spark: SparkSession, source: str, columns: str, annotate: Callable[[Data
     """Annotate what is new in the Parquet folder `source` into the table `target`; returns the number of batches.
 
     The stream's checkpoint remembers the files that were read. A batch that is run again, after a failure between its write and its commit,
-    finds its keys in the table and writes nothing twice. Repeated keys in a batch count once.
+    finds its keys in the table and writes nothing twice. Of repeated keys in a batch the greatest row counts, by its other columns in order.
     """
     stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     batches = []
 
     def write(batch: DataFrame, number: int) -> None:
         batches.append(number)
-        writers.append_new(annotate(batch.dropDuplicates([key])), target, key)
+        writers.append_new(annotate(catalogue.latest(batch, key)), target, key)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
