@@ -96,8 +96,9 @@ def entity_type(prediction: Column, namespace: str) -> Column:
 
 
 def entity_markup(text: Column, prediction: Column, entity_id: Column, namespace: str) -> Column:
-    """A span element; the text is not escaped."""
-    return F.format_string('<span class="entity" resource="#T%s" typeof="%s">%s</span>', entity_id.cast("string"), entity_type(prediction, namespace), text)
+    """A span element, its text escaped."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.format_string('<span class="entity" resource="#T%s" typeof="%s">%s</span>', entity_id.cast("string"), entity_type(prediction, namespace), safe)
 
 
 def split_trimmed(text: Column, sep: str = ",") -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein import schema
 from skein.functions import scores, text
-from skein.operators import labels, metrics, tokens
+from skein.operators import catalogue, labels, metrics, tokens
 
 
 def encoded(docs: DataFrame, pieces: Column, key: str = "doc_id", max_length: int = 512, stride: int = 20) -> DataFrame:
@@ -24,6 +26,17 @@ def multi_get(store: DataFrame, wanted: DataFrame, key: str = "doc_id", batch: s
     return store.join(numbered.select(key, batch, "batch_doc"), key)
 
 
+def looked_up(wanted: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "doc_id", room: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, fresh): the cache's rows for wanted's keys, with compute(wanted's rows that it lacks); and the computed rows to put into it.
+
+    `room` is how many rows the cache takes in all, those of least key first: None for no bound, 0 where it isn't filled, as outside of training.
+    """
+    hits = cache.join(wanted.select(key).distinct(), key, "left_semi")
+    missing = compute(catalogue.pending(wanted, cache, key)).select(*cache.columns)
+    fresh = missing if room is None else missing.orderBy(key).limit(max(0, room - cache.count()) if room else 0)
+    return hits.unionByName(missing), fresh
+
+
 def ids_to_tokens(rows: DataFrame, vocabulary: DataFrame, ids: str = "input_ids", key: tuple[str, ...] = ("doc_id", "segment")) -> DataFrame:
     """key with `tokens`: the strings of an array of ids, by vocabulary (id, token); unknown ids are null."""
     long = rows.select(*key, F.posexplode(ids).alias("__p", "id")).join(vocabulary, "id", "left")

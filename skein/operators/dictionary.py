@@ -34,8 +34,9 @@ def fuzzy_join(queries: DataFrame, query: str, terms: DataFrame, cutoff: float =
 
 
 def best_match(matches: DataFrame) -> DataFrame:
-    """The highest score of each query; ties to the first term."""
-    return matches.groupBy("query").agg(F.max_by(F.struct("label", "term", "score"), F.struct(F.col("score"), -F.hash("term"), "term")).alias("m")).select("query", "m.*")
+    """(query, label, term, score) of the highest score of each query; the first term and label win ties."""
+    best = F.min(F.struct((-F.col("score")).alias("less"), "term", "label", "score")).alias("m")
+    return matches.groupBy("query").agg(best).select("query", "m.label", "m.term", "m.score")
 
 
 def fuzzy_members(df: DataFrame, column: str, terms: DataFrame, above: float = 90.0) -> DataFrame:

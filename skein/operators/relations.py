@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -100,6 +100,37 @@ def biaffine(x: Column, y: Column, weights: dict[str, np.ndarray]) -> Column:
     return run(x, y)
 
 
+def entity_vectors(mentions: DataFrame, doc: str, entity: str, vector: str) -> DataFrame:
+    """(doc, entity, vector): the log-sum-exp of an entity's mention vectors, component by component."""
+    keys = [doc, entity]
+    return vectors(pooled(by_component(mentions.select(*keys, vector), vector), [*keys, "component"], "value", "logsumexp"), keys)
+
+
+def pair_candidates(mentions: DataFrame, doc: str, entity: str, vector: str) -> DataFrame:
+    """(doc, i, j, x, y): the pairs of a document's entities, i < j, with their pooled vectors. Null entities don't count."""
+    own = entity_vectors(mentions.where(F.col(entity).isNotNull()), doc, entity, vector)
+    first = own.select(doc, F.col(entity).alias("i"), F.col("vector").alias("x"))
+    return first.join(own.select(doc, F.col(entity).alias("j"), F.col("vector").alias("y")), doc).where("i < j")
+
+
+def pair_logits(mentions: DataFrame, doc: str, entity: str, vector: str, weights: dict[str, np.ndarray]) -> DataFrame:
+    """(doc, i, j, logits) of all pairs of a document's entities."""
+    return pair_candidates(mentions, doc, entity, vector).select(doc, "i", "j", biaffine(F.col("x"), F.col("y"), weights).alias("logits"))
+
+
+def gold_logits(gold: DataFrame, tokens: DataFrame, doc: str, entity: str, logit: str, vector: str, weights: dict[str, np.ndarray]) -> DataFrame:
+    """gold (doc, subject, object and others) with `logits`, from vectors that attention over a document's tokens pools for each argument.
+
+    tokens (doc, entity, logit, vector) has a row for each token and entity that it may be of. Only arguments that gold names are pooled; a relation
+    with an argument that the document's tokens don't have goes.
+    """
+    needed = gold.select(doc, F.explode(F.array("subject", "object")).alias(entity)).distinct()
+    soft = vectors(attention_pooled(tokens.join(needed, [doc, entity], "left_semi"), [doc, entity], logit, vector), [doc, entity])
+    x = soft.select(doc, F.col(entity).alias("subject"), F.col("vector").alias("__x"))
+    y = soft.select(doc, F.col(entity).alias("object"), F.col("vector").alias("__y"))
+    return gold.join(x, [doc, "subject"]).join(y, [doc, "object"]).select(*gold.columns, biaffine(F.col("__x"), F.col("__y"), weights).alias("logits"))
+
+
 def consistency_penalty(entity_scores: DataFrame, class_scores: DataFrame, entities: DataFrame, weight: float = 1.0) -> DataFrame:
     """One row, penalty: the mean over (doc, entity) of sigmoid(entity) * (1 - sigmoid(its class)); 0 for a weight of 0 or less.
 
@@ -112,8 +143,3 @@ def consistency_penalty(entity_scores: DataFrame, class_scores: DataFrame, entit
         return entity_scores.agg(F.lit(0.0).alias("penalty"))
     rows = entity_scores.join(entities, "entity_ix").join(class_scores.withColumnRenamed("logit", "class_logit"), ["doc_id", "class_ix"])
     return rows.agg(F.avg(scores.sigmoid(F.col("logit")) * (1 - scores.sigmoid(F.col("class_logit")))).alias("penalty"))
-
-
-def ranked(df: DataFrame, doc: str, score: str, label: str, k: int) -> DataFrame:
-    """df with `place` from 1 by score within a document, ties by label; rows up to k."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy(F.col(score).desc(), label))).where(F.col("place") <= k)

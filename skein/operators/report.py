@@ -14,6 +14,11 @@ def five_numbers(df: DataFrame, value: str, *columns: str) -> DataFrame:
     return out.select("parameter", "setting", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("low", "q1", "middle", "q3", "high"))])
 
 
+def at_most(df: DataFrame, value: str, most: float = 0.15) -> DataFrame:
+    """Rows up to the threshold; nulls go."""
+    return df.where(F.col(value) <= most)
+
+
 def regression(df: DataFrame, formula: str):
     """Fitted linear model of an R formula with interactions; its summary has r2. Coefficients of a rank-deficient design aren't unique."""
     from pyspark.ml.feature import RFormula

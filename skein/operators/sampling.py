@@ -21,6 +21,11 @@ def length_limited(df: DataFrame, length: str, most: int = 1000) -> DataFrame:
     return df.where(F.col(length) < most)
 
 
+def limited(df: DataFrame, key: str, n: int = 0) -> DataFrame:
+    """The n rows of least key, all of them for 0."""
+    return df.orderBy(key).limit(n) if n else df
+
+
 def batches(df: DataFrame, key: str, size: int, seed: int = SEED) -> DataFrame:
     """df with `batch` and `slot` from 0: rows without replacement in hash order, `size` a batch, the last one as it comes.
 

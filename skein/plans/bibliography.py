@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text
 from skein.operators import catalogue, dictionary, report, sampling
-from skein.plans.registry import query, table
+from skein.plans.registry import query, ratio_sql, table
 
 
 @query("""
@@ -98,7 +98,10 @@ def marker_predicate(spark, d):
 
 
 
-@query()
+@query(f"""
+WITH n AS (SELECT DISTINCT p_name AS t FROM part)
+SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT a.t FROM n a, (SELECT t || 'x' AS u FROM n) b WHERE {ratio_sql('a.t', 'u')} > 90)
+""")
 def fuzzy_membership(spark, d):
     """Parts whose name scores above 90 against any of the names with a letter added."""
     parts = table(spark, d, "part")
@@ -118,7 +121,11 @@ def fuzzy_pairs(spark, d):
     return fuzzy_pairs_all(spark, d).where(own)
 
 
-@query()
+_NEAR = f"""WITH n AS (SELECT DISTINCT p_name AS t FROM part), q AS (SELECT t FROM n UNION SELECT t || 'x' FROM n UNION SELECT substr(t, 2) FROM n)
+SELECT q.t AS query, n.t AS term, round({ratio_sql('q.t', 'n.t')}, 6) AS score FROM q JOIN n ON abs(length(q.t) - length(n.t)) <= 2 WHERE q.t <> ''"""
+
+
+@query(f"SELECT * FROM ({_NEAR}) WHERE score >= 93")
 def fuzzy_pairs_all(spark, d):
     """Part names, and variants with a letter more or less, against part names: every pair that reaches the cutoff, different names too."""
     names = table(spark, d, "part").select(F.col("p_name").alias("term")).distinct()
@@ -127,6 +134,25 @@ def fuzzy_pairs_all(spark, d):
     return dictionary.fuzzy_join(asked, "query", terms).select("query", "term", F.round("score", 6).alias("score"))
 
 
+@query(f"""
+SELECT query, term, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, term) AS r FROM ({_NEAR}) WHERE score >= 93) WHERE r = 1
+""")
+def fuzzy_best_match(spark, d):
+    """The nearest name of each variant."""
+    return dictionary.best_match(fuzzy_pairs_all(spark, d).withColumn("label", F.lit("part"))).select("query", "term", "score")
+
+
+@query("SELECT o_orderkey, o_totalprice / 1000000 AS val_loss FROM orders WHERE o_totalprice / 1000000 <= 0.15")
+def report_filter(spark, d):
+    runs = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000000).alias("val_loss"))
+    return report.at_most(runs, "val_loss")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 150")
+def document_limit(spark, d):
+    return sampling.limited(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 150)
+
+
 @query("""
 SELECT parameter, setting, count(v) AS n, round(min(v), 6) AS low, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS middle,
   round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS high
@@ -243,7 +269,10 @@ def annotate_incremental(spark, d):
 
 
 def _shared(spark):
+    import re
     import tempfile
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (folder or tempfile.mkdtemp(prefix="skein-")).rstrip("/")

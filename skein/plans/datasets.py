@@ -71,3 +71,15 @@ def vocabulary_lookup(spark, d):
     rows = ids.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]).alias("input_ids"))
     words = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("token"))
     return dataset.ids_to_tokens(rows, words, key=("doc_id",)).select("doc_id", F.array_join("tokens", " ").alias("names"))
+
+
+@query("""
+SELECT vec_id, 'kept' AS origin, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE label < 5
+UNION ALL SELECT vec_id, 'new', round(2 * CAST(embedding[1] AS DOUBLE), 6) FROM embeddings WHERE label >= 5 OR label IS NULL
+""")
+def embedding_lookup(spark, d):
+    """Vectors of the lower labels are in the cache; the others are computed."""
+    rows = table(spark, d, "embeddings")
+    first = F.col("embedding")[0].cast("double")
+    cache = rows.where("label < 5").select("vec_id", F.lit("kept").alias("origin"), F.round(first, 6).alias("first"))
+    return dataset.looked_up(rows, cache, lambda missing: missing.select("vec_id", F.lit("new").alias("origin"), F.round(2 * first, 6).alias("first")), "vec_id")[0]

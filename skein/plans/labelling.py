@@ -143,12 +143,14 @@ def pair_gold_alignment_last(spark, d):
 
 
 @query(f"""
-WITH s AS (SELECT l_orderkey, i, j FROM ({_PAIRS}) WHERE i % 4 = 0), g AS (SELECT DISTINCT l_orderkey, subject AS i, object AS j FROM ({_EDGES}))
+WITH s AS (SELECT l_orderkey, i, j FROM ({_PAIRS}) JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'O'), g AS (SELECT DISTINCT l_orderkey, subject AS i, object AS j FROM ({_EDGES}))
 SELECT l_orderkey, i, j, 0 AS target, 1 AS predicted FROM s UNION ALL
 SELECT l_orderkey, i, j, 1, 2 FROM g WHERE l_orderkey NOT IN (SELECT l_orderkey FROM s)
 """)
 def missing_golds(spark, d):
-    scored = entity_pairs(spark, d).where("i % 4 = 0").withColumns({"target": F.lit(0), "predicted": F.lit(1)})
+    """Pairs of open orders have no scores, their golds stand as predicted none."""
+    closed = table(spark, d, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
+    scored = entity_pairs(spark, d).join(closed, "l_orderkey", "left_semi").withColumns({"target": F.lit(0), "predicted": F.lit(1)})
     gold = _edges(spark, d).select("l_orderkey", F.col("subject").alias("i"), F.col("object").alias("j")).distinct().withColumn("label", F.lit(1))
     return relations.with_missing_golds(scored, gold, ["l_orderkey", "i", "j"], F.lit(2))
 

@@ -169,19 +169,59 @@ def micro_ap(spark, d):
     return metrics.micro_average_precision(_prob(spark, d)).select(F.round("average_precision", 6).alias("average_precision"))
 
 
-@query("SELECT CAST(e AS BIGINT) AS epoch, round(0.1 + 0.9 * least(1.0, e / 8.0), 6) AS weight FROM (SELECT DISTINCT event_id AS e FROM events WHERE event_id < 20)")
+@query("SELECT CAST(e AS BIGINT) AS epoch, round(0.1 + 0.9 * least(1.0, e / 8.0), 6) AS weight FROM (SELECT DISTINCT event_id AS e FROM events)")
 def loss_ramp(spark, d):
-    epochs = table(spark, d, "events").where("event_id < 20").select(F.col("event_id").alias("epoch")).distinct()
+    epochs = table(spark, d, "events").select(F.col("event_id").alias("epoch")).distinct()
     return epochs.select("epoch", F.round(scores.ramp(F.col("epoch"), 8), 6).alias("weight"))
 
 
-@query()
-def pair_scores(spark, d):
-    """Biaffine scores of vectors with the next of their label, with fixed weights; see the tests for the formula."""
+@query("""
+WITH m AS (SELECT vec_id // 20 AS doc, label, CAST(embedding[i] AS DOUBLE) AS v, i FROM embeddings, unnest(range(1, 65)) AS r(i)),
+p AS (SELECT doc, label, i, max(v) + ln(sum(exp(v - top))) AS v FROM (SELECT *, max(v) OVER (PARTITION BY doc, label, i) AS top FROM m) GROUP BY 1, 2, 3)
+SELECT a.doc AS doc_id, a.label AS i, b.label AS j, round(sum(a.v * b.v), 5) AS product FROM p a JOIN p b ON a.doc = b.doc AND a.i = b.i AND a.label < b.label GROUP BY 1, 2, 3
+""")
+def entity_pair_vectors(spark, d):
+    """Pairs of the labels in each run of 20 vectors, by the product of their pooled vectors."""
+    rows = _mentions(spark, d)
+    pairs = relations.pair_candidates(rows, "doc_id", "label", "embedding")
+    product = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return pairs.select("doc_id", "i", "j", F.round(product, 5).alias("product"))
+
+
+def _mentions(spark, d):
+    return table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc_id"), "label", "embedding")
+
+
+def _weights(size: int = 64, hidden: int = 32):
     import numpy as np
 
     rng = np.random.default_rng(7)
-    weights = {"hidden_w": rng.normal(size=(32, 64)) / 8, "hidden_b": rng.normal(size=32), "bilinear": rng.normal(size=(3, 32, 32)) / 32, "linear_w": rng.normal(size=(3, 64)) / 8, "linear_b": rng.normal(size=3), "bias": rng.normal(size=3)}
+    return {"hidden_w": rng.normal(size=(hidden, size)) / 8, "hidden_b": rng.normal(size=hidden), "bilinear": rng.normal(size=(3, hidden, hidden)) / 32, "linear_w": rng.normal(size=(3, 2 * hidden)) / 8, "linear_b": rng.normal(size=3), "bias": rng.normal(size=3)}
+
+
+@query()
+def pair_logits(spark, d):
+    """Relation scores of the pairs of entity_pair_vectors, with the gold label of the pair that its labels name; see the tests for the formula."""
+    rows = _mentions(spark, d)
+    scored = relations.pair_logits(rows, "doc_id", "label", "embedding", _weights())
+    gold = rows.select("doc_id", F.col("label").alias("i"), (F.col("label") + 1).alias("j")).distinct().withColumns({"gold": F.col("i") % 2, "position": F.col("i")})
+    out = relations.gold_targets(scored, gold, ["doc_id", "i", "j"], "gold", "position", F.lit(2))
+    return out.select("doc_id", "i", "j", "target", *[F.round(F.col("logits")[r], 6).alias(f"r{r}") for r in range(3)])
+
+
+@query()
+def gold_pair_logits(spark, d):
+    """Relation scores of gold pairs of labels, from vectors pooled by attention over each run's vectors."""
+    rows = _mentions(spark, d).withColumn("logit", F.col("embedding")[0].cast("double"))
+    gold = rows.select("doc_id", F.col("label").alias("subject"), ((F.col("label") + 1) % 10).alias("object")).distinct()
+    out = relations.gold_logits(gold, rows, "doc_id", "label", "logit", "embedding", _weights())
+    return out.select("doc_id", "subject", "object", *[F.round(F.col("logits")[r], 6).alias(f"r{r}") for r in range(3)])
+
+
+@query()
+def pair_scores(spark, d):
+    """Biaffine scores of vectors with the next of their label, with fixed weights; see the tests for the formula."""
+    weights = _weights()
     rows = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
     scored = pairs.select("vec_id", relations.biaffine(F.col("x"), F.col("y"), weights).alias("s"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from skein import schema
 from skein.functions import text
 from skein.operators import catalogue, dictionary, markup, tokens
-from skein.plans.registry import query, table
+from skein.plans.registry import query, ratio_sql, table
 
 _TOKENS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
+_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 _N = f"CAST(len({_TOKENS}) AS INTEGER)"
 
 
@@ -60,6 +61,16 @@ def subword_merge(spark, d):
     return tokens.merged_pieces(_pieces(spark, d)).select("doc_id", "word", "string", "prediction")
 
 
+@query(f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, {_TOKENS} AS w FROM conversations) SELECT doc_id, coalesce(array_to_string(w, ' '), '') AS words FROM t
+""")
+def subword_merge_structs(spark, d):
+    """The pieces of a document in one array, merged into its words."""
+    gathered = F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("piece").alias("string"), F.struct("start", "end").cast(schema.OFFSET).alias("offset"), "prediction", F.lit(None).cast("string").alias("gold_label"), F.lit(None).cast("double").alias("prob")).cast(schema.TOKEN).alias("token"))))
+    docs = _pieces(spark, d).groupBy("doc_id").agg(F.transform(gathered, lambda x: x["token"]).alias("t"))
+    return docs.select("doc_id", F.array_join(F.transform(text.merged_off_tokens(F.col("t")), lambda x: x["string"]), " ").alias("words"))
+
+
 @query(f"""
 WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, {_TOKENS} AS w FROM conversations)
 SELECT doc_id, '#' || coalesce(array_to_string(list_transform(w, lambda x: repeat(CASE WHEN length(x) % 2 = 0 THEN 'E' ELSE 'O' END, ((length(x) + 3) // 4)::INTEGER)), ''), '') || '#' AS labels FROM t
@@ -115,7 +126,23 @@ def _tagged(spark, d):
     return dictionary.tagged(docs, "tokens", _terms(spark, d))
 
 
-@query()
+@query(rf"""WITH RECURSIVE b AS (SELECT regexp_extract_all(coalesce(text, ''), '{_PATTERN}') AS w FROM benchmark),
+terms AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM b, unnest(range(1, len(w))) AS r(i) WHERE length(w[i] || ' ' || w[i + 1]) >= 8),
+d AS (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '{_PATTERN}') AS w, list_transform(regexp_split_to_array(coalesce(text, ''), '{_PATTERN}'), lambda g: repeat(' ', length(g))) AS g FROM documents),
+p1 AS (SELECT doc_id, i, w[i] AS t1, {', '.join(f'g[i + {k}] || w[i + {k}] AS t{k + 1}' for k in range(1, 10))} FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
+longest AS (SELECT max(length(term)) + 2 AS most FROM terms),
+p AS (SELECT doc_id, i, n, text FROM (SELECT doc_id, i, unnest([{', '.join(' || '.join(f't{j}' for j in range(1, k + 1)) for k in range(1, 11))}]) AS text, unnest(range(1, 11)) AS n FROM p1) WHERE length(text) <= (SELECT most FROM longest)),
+u AS (SELECT DISTINCT text, length(text) AS n, CAST(floor(0.07 * (2 * length(text) + 2) + 1e-9) AS INTEGER) + 1 AS parts FROM p),
+cut AS (SELECT text, n, substr(text, CAST(k * n // parts AS INTEGER) + 1, CAST((k + 1) * n // parts - k * n // parts AS INTEGER)) AS piece FROM u, unnest(range(0, parts)) AS r(k)),
+parts AS (SELECT DISTINCT term, substr(term, a, z) AS piece FROM terms, unnest(range(1, length(term) + 1)) AS r(a), unnest(range(3, length(term) - a + 2)) AS s(z)),
+near AS (SELECT DISTINCT text, term FROM cut JOIN parts USING (piece) WHERE abs(n - length(term)) <= 2 AND levenshtein(text, term) <= 4 * floor(0.07 * (n + length(term)) + 1e-9)),
+best AS (SELECT text, CASE WHEN length(term) % 2 = 0 THEN 'even' ELSE 'odd' END AS label, max(score) AS score FROM
+  (SELECT text, term, {ratio_sql('text', 'term')} AS score FROM near) WHERE score >= 93 GROUP BY ALL),
+hits AS (SELECT doc_id, i, min({{'s': -score, 'label': label, 'n': n}}) AS h FROM p JOIN best USING (text) GROUP BY ALL),
+steps AS (SELECT a.doc_id, a.i, a.h.label AS label, b.i AS after FROM hits a ASOF LEFT JOIN hits b ON a.doc_id = b.doc_id AND a.i + a.h.n <= b.i),
+kept AS (SELECT doc_id, min(i) AS i FROM hits GROUP BY doc_id UNION ALL SELECT s.doc_id, s.after FROM kept k JOIN steps s ON k.doc_id = s.doc_id AND k.i = s.i WHERE s.after IS NOT NULL)
+SELECT lang, label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM kept JOIN steps USING (doc_id, i) JOIN documents USING (doc_id) GROUP BY ALL
+""")
 def dictionary_tags(spark, d):
     """Dictionary hits by language and label."""
     hits = _tagged(spark, d).select("doc_id", "lang", F.explode(F.filter("tokens", lambda t: t["prediction"] != "O")).alias("t"))
@@ -133,7 +160,7 @@ def strip_pages(spark, d):
     return table(spark, d, "pages").select("page_id", markup.stripped("html").alias("text"))
 
 
-@query()
+@query("SELECT page_id, true AS same FROM pages")
 def reinsert_tags(spark, d):
     """Pages' own tags put back into their annotated text: stripping that gives the page's text."""
     pages = table(spark, d, "pages").select("page_id", "html", markup.stripped("html").alias("plain"))
