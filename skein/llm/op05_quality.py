@@ -119,7 +119,7 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), batch.column("quality").slice(first, end - first), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], ["id", "quality", "cols", "values"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 150, rate: float = 2.0, penalty: float = 1e-4) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 150, rate: float = 2.0, penalty: float = 1e-2) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id, quality 0 or 1); null where the labels name fewer than two classes.
 
     Rows with a null in doc_id or quality, or another quality than 0 and 1, don't count. At most `sample` labelled rows and as many documents,
