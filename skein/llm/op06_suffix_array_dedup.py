@@ -77,3 +77,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, digest: b
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
+
+
+#: Every string of every document, so for small tables.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(array_slice(x, i + 1, i + 400)) AS h FROM d, unnest(range(0, n - 399)) AS r(i)),
+again AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM again) GROUP BY doc_id, run),
+lists AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN x ELSE unhex(array_to_string(list_transform(range(1, len(a) + 2), lambda k:
+    hex(array_slice(x, coalesce(b[k - 1], 0) + 1, coalesce(a[k], n)))), '')) END) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)
+"""

@@ -1,7 +1,8 @@
 """Line dedup against levelled sorted runs of line hashes.
 
 The index is a list of runs. A run is a Parquet table of (key hash, owner), bucketed and sorted by hash, so that joining
-a batch with a run merges two sorted sides and never moves the run. A batch's keys are anti-joined with every run; what
+a batch with a run moves the batch only; each bucket of the run is read in place and put in order for the merge, as Spark
+does not take the order of a bucket's files for granted. A batch's keys are anti-joined with every run; what
 is left, with the batch's smallest doc_id as owner, becomes a new run of level 0. When a level has FANOUT runs they are
 merged into one run of the next level. Runs never share a key, so there are about log(batches) runs and each key is
 rewritten as many times.
@@ -66,12 +67,19 @@ class LineIndex:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(merged)
-            for name in old:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{session.shared_dir(self.spark)}/{name}")
-                self.spark.sql(f"DROP TABLE {name}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._drop(old)
             level += 1
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            session.remove(self.spark, f"{session.shared_dir(self.spark)}/{name}")
+
+    def close(self) -> None:
+        """Drop all runs."""
+        self._drop([name for level in self.levels for name in level])
+        self.levels = [[]]
+
     def owners(self) -> DataFrame:
         return _union(self.runs())
 
@@ -103,7 +111,9 @@ def dropped(docs: DataFrame, batches: int = BATCHES, min_length: int = MIN_LENGT
         index.add(batch)
         low = high
     lost = found.join(index.owners(), ["h1", "h2"]).where("id > owner")
-    return session.checkpoint(lost.groupBy("id", "row").agg(F.collect_set("at").alias("drop")))
+    lost = session.checkpoint(lost.groupBy("id", "row").agg(F.collect_set("at").alias("drop")))
+    index.close()
+    return lost
 
 
 def apply(docs: DataFrame, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +146,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     docs needs doc_id and text; other columns stay. A key is a line stripped of ASCII white space at both ends, A-Z lower-cased;
     keys under min_length code points never go. Null texts stay null, empty ones empty. A null doc_id counts as smaller than
     any other; rows that share a doc_id are one document, whose own lines it keeps. A document may lose all lines: its text
-    is then empty.
+    is then empty. Long texts are split whole, a row for each line; memory is one text.
     """
     hit, rest = apply(docs, dropped(docs, **options))
     return rest.unionByName(hit.drop("__lines", "__dropped"))

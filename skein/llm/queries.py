@@ -16,4 +16,10 @@ QUERIES = {
     "op9_line_dedup": op09_line_dedup.op9_line_dedup,
     "op10_packing": op10_packing.op10_packing,
 }
-ORACLE_SQL = {"op2_mixing": op02_mixing.OP2_SQL, "op9_line_dedup": op09_line_dedup.OP9_SQL}
+ORACLE_SQL = {
+    "op2_mixing": op02_mixing.OP2_SQL,
+    "op3_jaccard_join": op03_jaccard_join.OP3_SQL,
+    "op4_substring_dedup": op04_substring_dedup.OP4_SQL,
+    "op6_suffix_array_dedup": op06_suffix_array_dedup.OP6_SQL,
+    "op9_line_dedup": op09_line_dedup.OP9_SQL,
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode, else an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="skein-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -26,15 +29,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of an Arrow batch of whole texts. Spark's own bound of 10,000 lets a batch of long texts outgrow a worker.
-BATCH_ROWS = 1500
+#: Bounds of an Arrow batch of whole texts. Spark's own, 10,000 rows and 64 MB, let a batch of long texts outgrow a worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1500, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def documents(df: DataFrame) -> DataFrame:
-    """df, its session's Arrow batches held to BATCH_ROWS rows, for stages that take whole texts to Python workers."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """df, its session's Arrow batches held to BATCH, for stages that take whole texts to Python workers. Spark reads these settings when a
+    plan runs, so the session keeps them; smaller ones stay as they are."""
+    spark = df.sparkSession
+    number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in BATCH.items():
+        if not 0 < number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
     return df
 
 
@@ -42,6 +48,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of new_path that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,14 +83,14 @@ def bitmap(df: DataFrame, place: Column, bits: int) -> bytes:
     return bytes(out[: 1 << (bits - 3)])
 
 
-def classes(links: DataFrame, limit: int = 60) -> DataFrame:
+def classes(links: DataFrame) -> DataFrame:
     """(node, root) for each node of links (a, b): the smallest node reachable from it.
 
     Alternating large-star and small-star steps over the table of links; each step is a map-side combined
-    aggregation and a join, so a node with very many links never has them gathered in one place.
+    aggregation and a join, so a node with very many links never has them gathered in one place. It ends when a step changes nothing.
     """
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(limit):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # large star: each larger neighbour to the least neighbour
@@ -90,7 +102,5 @@ def classes(links: DataFrame, limit: int = 60) -> DataFrame:
         if not after.exceptAll(edges).take(1) and after.count() == edges.count():
             break
         edges = after
-    else:
-        raise RuntimeError("links did not settle")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
