@@ -30,9 +30,9 @@ PART = 1 << 18
 #: Size of the fixed filter of repeated prefixes, in bits: 8 MB, whatever the corpus.
 FILTER_BITS = 26
 #: Windows of a prefix that one task may hold; also no more than a task's share of all, but LEAST of them are never too many.
-MOST, LEAST = 1 << 18, 1 << 12
-#: Bytes of tokens of whole groups that are handled at once.
-HELD = 4 << 20
+MOST, LEAST = 1 << 19, 1 << 12
+#: Tokens of whole groups that are handled at once.
+HELD = 1 << 19
 NULL_ID = -(1 << 63)
 _BASE = 0xD1342543DE82EF95
 
@@ -132,21 +132,41 @@ def _place(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return kernels.mix(ids.view(U) ^ kernels.mix(rows.view(U) ^ kernels.mix(starts.view(U))))
 
 
-def _standing(split: Callable, width: int, prefix: int, wanted: Broadcast, contents: bool):
-    """The blocks that stand for their leaves, and some that share a slot of the filter with one: (h, id, block) and their tokens or their windows' hashes."""
+def _standing(split: Callable, width: int, prefix: int, wanted: Broadcast):
+    """The blocks that stand for their leaves, and some that share a slot of the filter with one: (h, id, block, tokens)."""
+    return _kept(split, width, prefix, wanted, lambda which, _, contents: {"tokens": contents(which).cast(pa.binary())})
 
+
+def _single(split: Callable, width: int, prefix: int, wanted: Broadcast, several: Broadcast | None):
+    """The windows of such blocks by their hashes, (h, id, block, at, windows): all, or those that share a slot with one of several."""
+
+    def of(which, windows, _):
+        lists = windows(which)
+        n, values = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()
+        at = kernels.ragged(np.zeros(len(n), np.int64), n).astype(np.int32)
+        if several is not None:
+            keep = kernels.has(np.frombuffer(several.value, np.uint8), values.view(U))
+            n = np.diff(offsets(keep)[offsets(n)])
+            at, values = at[keep], values[keep]
+        bounds = offsets(n).astype(np.int32)
+        return {"at": pa.ListArray.from_arrays(bounds, at), "windows": pa.ListArray.from_arrays(bounds, values)}
+
+    return _kept(split, width, prefix, wanted, of)
+
+
+def _kept(split: Callable, width: int, prefix: int, wanted: Broadcast, of: Callable):
     def run(batches):
         bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
             ids, keys = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             for first, end, data, at in kernels.slices(batch.column("text")):
                 tokens, bounds = split(data, at)
-                for h, row, start, _, block, windows, tokens_of in suffixes(tokens, bounds, width, prefix):
+                for h, row, start, _, block, windows, contents in suffixes(tokens, bounds, width, prefix):
                     own = ids[first:end][row]
                     keep = np.flatnonzero(kernels.has(bits, _place(own, keys[first:end][row], start)))
                     if len(keep):
-                        last = tokens_of(keep).cast(pa.binary()) if contents else windows(keep)
-                        yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(own[keep]), pa.array(block[keep].view(np.int64)), last], ["h", "id", "block", "tokens" if contents else "windows"])
+                        columns = {"h": pa.array(h[keep].view(np.int64)), "id": pa.array(own[keep]), "block": pa.array(block[keep].view(np.int64)), **of(keep, windows, contents)}
+                        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -163,7 +183,7 @@ def _ranges(h, blocks, ids, starts, width):
 def _groups(width: int, kind: str, nodes: Callable, earlier: bool):
     """Over blocks sorted by (h, id, block): (h, block, id, from, to), ranges of a block's tokens that repeated windows cover.
 
-    Memory: HELD bytes of tokens, or one prefix's blocks where they are more, which MOST bounds.
+    Memory: HELD tokens, or one prefix's blocks where they are more, which MOST bounds.
     """
 
     def found(table):
@@ -188,7 +208,7 @@ def _groups(width: int, kind: str, nodes: Callable, earlier: bool):
         for batch in batches:
             held.append(batch)
             size += batch.column("tokens").nbytes
-            if size < HELD:
+            if size < HELD * np.dtype(kind).itemsize:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             h = table.column("h").to_numpy()
@@ -240,23 +260,26 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
         leaves = leaves.select("h", "block", "count", "place", (F.col("n") > 1).alias("copied"))
     leaves = session.checkpoint(leaves)
     # the windows of each prefix that has several leaves
-    sizes = leaves.groupBy("h").agg(F.sum("count").alias("windows"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    sizes = session.checkpoint(leaves.groupBy("h").agg(F.sum("count").alias("windows"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     leaves = session.checkpoint(leaves.join(sizes, "h", "left"))
     total = leaves.where("windows is not null").agg(F.sum("count").alias("n")).first()["n"] or 0
     most = min(MOST, max(LEAST, total // session.partitions(spark)))
     place = F.shiftrightunsigned("place", 64 - FILTER_BITS)
     wanted = spark.sparkContext.broadcast(session.bitmap(leaves.where(F.col("windows") <= most), place, FILTER_BITS))
     ranges = "h long, block long, id long, from long, to long"
-    groups = docs.mapInArrow(_standing(split, width, prefix, wanted, True), "h long, id long, block long, tokens binary")
+    groups = docs.mapInArrow(_standing(split, width, prefix, wanted), "h long, id long, block long, tokens binary")
     groups = groups.repartition(session.partitions(spark), "h").sortWithinPartitions("h", "id", "block")
     inner = groups.mapInArrow(_groups(width, kind, nodes, earlier), ranges)
     large = leaves.where(F.col("windows") > most)
     if large.take(1):
         wanted = spark.sparkContext.broadcast(session.bitmap(large, place, FILTER_BITS))
-        single = docs.mapInArrow(_standing(split, width, prefix, wanted, False), "h long, id long, block long, windows array<long>")
-        single = single.select("h", "block", "id", F.posexplode("windows").alias("at", "window"))
-        several = single.groupBy("h", "window").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        single = single.join(several, ["h", "window"])
+        columns = "h long, id long, block long, at array<int>, windows array<long>"
+        single = docs.mapInArrow(_single(split, width, prefix, wanted, None), columns)
+        several = single.select("h", "id", F.explode("windows").alias("window")).groupBy("h", "window").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+        several = session.checkpoint(several.where("n > 1").drop("n"))
+        chosen = spark.sparkContext.broadcast(session.bitmap(several, F.shiftrightunsigned("window", 64 - FILTER_BITS), FILTER_BITS))
+        single = docs.mapInArrow(_single(split, width, prefix, wanted, chosen), columns)
+        single = single.select("h", "block", "id", F.inline(F.arrays_zip("at", F.col("windows").alias("window")))).join(several, ["h", "window"])
         single = (single.where("id > low") if earlier else single).groupBy("h", "block", "id").agg(F.collect_list("at").alias("at"))
         inner = inner.unionByName(single.mapInArrow(_joined(width), ranges))
     # a later copy that passed the filter by its slot alone repeats its own leaf: with earlier, only what the first copy's id repeats counts
@@ -270,7 +293,9 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<bigint>")))
     ranges = hit.select("id", "row", F.explode(starts).alias("s"), "inner").select("id", "row", "s", F.explode("inner").alias("r"))
     ranges = ranges.select("id", "row", (F.col("s") + F.col("r.from")).alias("start"), (F.col("s") + F.col("r.to")).alias("end"))
-    return session.checkpoint(ranges.groupBy("id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    spans = session.checkpoint(ranges.groupBy("id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    session.remove(spark, path)
+    return spans
 
 
 def ranges(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
