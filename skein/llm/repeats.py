@@ -247,9 +247,8 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     places = docs.select("id", "text").mapInArrow(_prefixes(split, width, prefix), "h long, id long").groupBy("h")
     shared = places.agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b") if earlier else places.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = spark.sparkContext.broadcast(session.bitmap(shared, F.shiftrightunsigned("h", 64 - FILTER_BITS), FILTER_BITS))
-    path = session.new_path(spark, "blocks")
-    docs.mapInArrow(_blocks(split, width, prefix, repeated), "h long, id long, row long, count int, block long, start long, place long, more array<long>").write.parquet(path)
-    blocks = spark.read.parquet(path)
+    found = docs.mapInArrow(_blocks(split, width, prefix, repeated), "h long, id long, row long, count int, block long, start long, place long, more array<long>")
+    blocks, blocks_path = session.stored(found, "blocks")
     # leaves: a row for each different block, whatever the number of its copies
     leaves = blocks.groupBy("h", "block")
     if earlier:
@@ -258,10 +257,11 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     else:
         leaves = leaves.agg(F.max("count").alias("count"), F.min("place").alias("place"), F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).alias("n"))
         leaves = leaves.select("h", "block", "count", "place", (F.col("n") > 1).alias("copied"))
-    leaves = session.checkpoint(leaves)
+    leaves, first_path = session.stored(leaves, "leaves")
     # the windows of each prefix that has several leaves
     sizes = session.checkpoint(leaves.groupBy("h").agg(F.sum("count").alias("windows"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    leaves = session.checkpoint(leaves.join(sizes, "h", "left"))
+    leaves, leaves_path = session.stored(leaves.join(sizes, "h", "left"), "leaves")
+    session.remove(spark, first_path)
     total = leaves.where("windows is not null").agg(F.sum("count").alias("n")).first()["n"] or 0
     most = min(MOST, max(LEAST, total // session.partitions(spark)))
     place = F.shiftrightunsigned("place", 64 - FILTER_BITS)
@@ -285,7 +285,8 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     # a later copy that passed the filter by its slot alone repeats its own leaf: with earlier, only what the first copy's id repeats counts
     leaf = ["h", "block", "least"] if earlier else ["h", "block"]
     inner = inner.withColumnRenamed("id", "least").groupBy(*leaf).agg(F.collect_set(F.struct("from", "to")).alias("inner"))
-    leaves = leaves.drop("place", "windows", "count").join(inner, leaf, "left").where(F.col("copied") | F.col("inner").isNotNull())
+    # a table of its own, so that the copies of a frequent block can be dealt over several tasks in the join
+    leaves = session.checkpoint(leaves.drop("place", "windows", "count").join(inner, leaf, "left").where(F.col("copied") | F.col("inner").isNotNull()))
     hit = blocks.drop("place").join(leaves, ["h", "block"])
     whole = F.col("id") > F.col("least") if earlier else F.col("copied")
     every = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("count") - 1 + width).cast("long").alias("to")))
@@ -294,7 +295,8 @@ def covered(docs: DataFrame, split: Callable, width: int, prefix: int, earlier:
     ranges = hit.select("id", "row", F.explode(starts).alias("s"), "inner").select("id", "row", "s", F.explode("inner").alias("r"))
     ranges = ranges.select("id", "row", (F.col("s") + F.col("r.from")).alias("start"), (F.col("s") + F.col("r.to")).alias("end"))
     spans = session.checkpoint(ranges.groupBy("id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    session.remove(spark, path)
+    for path in (blocks_path, leaves_path):
+        session.remove(spark, path)
     return spans
 
 

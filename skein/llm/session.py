@@ -48,6 +48,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written as Parquet to the shared folder, and where: for remove() when nothing reads it any more."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of new_path that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
