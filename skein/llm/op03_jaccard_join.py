@@ -293,11 +293,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> Da
     rows = session.documents(docs).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
     members = session.checkpoint(rows.mapInArrow(_sets(k), "id long, row long, n long, set long"))
     # first the keys that several sets have, then their sets: a frequent key's list is never gathered to find its pivot
-    keys = rows.select("text").mapInArrow(_index(k, percent, None), "key long, set long").groupBy("key").agg(F.min("set").alias("pivot"), F.max("set").alias("last"))
-    lists = session.checkpoint(keys.where("pivot < last").drop("last"))
-    listed = spark.sparkContext.broadcast(session.bitmap(lists, F.shiftrightunsigned("key", 64 - FILTER_BITS), FILTER_BITS))
-    index = rows.select("text").mapInArrow(_index(k, percent, listed), "key long, set long").join(lists, "key")
-    pairs = session.checkpoint(index.where("pivot <> set").select("pivot", "set").distinct())
+    keys = rows.select("text").mapInArrow(_index(k, percent, None), "key long, set long").groupBy("key").count().where("count > 1")
+    listed = spark.sparkContext.broadcast(session.bitmap(keys, F.shiftrightunsigned("key", 64 - FILTER_BITS), FILTER_BITS))
+    index = session.checkpoint(rows.select("text").mapInArrow(_index(k, percent, listed), "key long, set long"))
+    lists = session.checkpoint(index.groupBy("key").agg(F.min("set").alias("pivot"), F.max("set").alias("last")).where("pivot < last").drop("last"))
+    pairs = session.checkpoint(index.join(lists, "key").where("pivot <> set").select("pivot", "set").distinct())
     # a pivot and its number of parts; the pivot goes to all of them
     parts = session.checkpoint(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")))
     asked = pairs.join(parts, "pivot").unionByName(parts.select("pivot", F.col("pivot").alias("set"), "parts"))
@@ -317,8 +317,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> Da
     meet = own.select(*order).unionByName(passing.select(*order)).repartition(session.partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", "kind", "set")
     links = compared.where("near").select(F.col("pivot").alias("a"), F.col("set").alias("b")).unionByName(meet.mapInArrow(_rest_links(percent), "a long, b long"))
     roots = session.classes(links).select(F.col("node").alias("set"), "root")
+    session.remove(spark, path)
     placed = members.join(roots, "set", "left").withColumn("class", F.coalesce("root", "set"))
-    least = placed.where("n > 0").groupBy("class").agg(F.min(F.nullif("id", F.lit(_NULL_ID))).alias("least"))
+    # a table of its own, so that the rows of a large class can be dealt over several tasks in the join
+    least = session.checkpoint(placed.where("n > 0").groupBy("class").agg(F.min(F.nullif("id", F.lit(_NULL_ID))).alias("least")))
     doc_id = F.nullif("id", F.lit(_NULL_ID))
     full = placed.where("n > 0").join(least, "class").select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return full.unionByName(members.where("n = 0").select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), doc_id.alias("component_id")))
@@ -326,3 +328,17 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> Da
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
+
+
+#: All pairs that share a shingle, so for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS h FROM d, unnest(range(1, greatest(2, len(w) - 1))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inner_size FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inner_size >= 90 * (x.n + y.n - inner_size)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM edges UNION SELECT doc_id, e.b FROM reach JOIN edges e ON e.a = other)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.least, doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
