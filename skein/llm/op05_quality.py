@@ -26,6 +26,8 @@ KINDS = len(WORD_GRAMS) + len(CHARACTER_GRAMS)
 UNIT = 1 << 20
 #: Each step of the fit takes one of PARTS parts of the training rows, in turn.
 PARTS = 5
+#: Rows of which the fit holds the scaled frequencies at once.
+CHUNK = 32
 #: Documents are kept from this calibrated probability of quality on.
 KEEP = 0.5
 MIN_WORDS = 10
@@ -149,11 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 1
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         part = train[step % PARTS :: PARTS] if len(train) > 20 * PARTS else train
-        col, owner = np.concatenate([cols[i] for i in part]), np.repeat(np.arange(len(part)), [len(cols[i]) for i in part])
-        value = (np.concatenate([values[i] for i in part]) / spread[col] / np.sqrt(size)).astype(np.float32)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[col], len(part)) + b, -50, 50)))
-        g = (p - y[part]) * balance[part] / len(part)
-        grad = np.append(np.bincount(col, value * g[owner], size) + penalty * w / np.sqrt(size), g.sum())
+        grad = np.append(penalty * w / np.sqrt(size), 0.0)
+        for some in np.array_split(part, -(-len(part) // CHUNK)):
+            col, owner = np.concatenate([cols[i] for i in some]), np.repeat(np.arange(len(some)), [len(cols[i]) for i in some])
+            value = np.concatenate([values[i] for i in some]) / spread[col] / np.sqrt(size)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[col], len(some)) + b, -50, 50)))
+            g = (p - y[some]) * balance[some] / len(part)
+            grad += np.append(np.bincount(col, value * g[owner], size), g.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-12) * 0.05
         w, b = w - move[:-1], b - move[-1]
