@@ -5,6 +5,8 @@ A token is struct<string, offset struct<start, end>, prediction, gold_label, pro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once per row, however often and in whatever lambdas f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def joined_text(*parts: Column, sep: str = "\n") -> Column:
     """Parts with sep between them; a null part counts as empty, and its separator stays."""
     return F.concat_ws(sep, *[F.coalesce(p, F.lit("")) for p in parts])
@@ -40,11 +47,14 @@ def without_marks(token: Column) -> Column:
 def detokenised(tokens: Column) -> Column:
     """Tokens' strings with as many spaces between them as their offsets leave; empty for no tokens, none before the first."""
 
-    def spaced(token: Column, i: Column) -> Column:
-        gap = token["offset"]["start"] - F.element_at(tokens, F.greatest(i, F.lit(1)))["offset"]["end"]
-        return F.concat(F.when(i > 0, F.repeat(F.lit(" "), F.greatest(F.lit(0), gap))).otherwise(F.lit("")), token["string"])
+    def joined(tokens: Column) -> Column:
+        def spaced(token: Column, i: Column) -> Column:
+            gap = token["offset"]["start"] - F.element_at(tokens, F.greatest(i, F.lit(1)))["offset"]["end"]
+            return F.concat(F.when(i > 0, F.repeat(F.lit(" "), F.greatest(F.lit(0), gap))).otherwise(F.lit("")), token["string"])
+
+        return F.array_join(F.transform(tokens, spaced), "")
 
-    return F.array_join(F.transform(tokens, spaced), "")
+    return once(tokens, joined)
 
 
 def merged_token(tokens: Column) -> Column:
@@ -139,7 +149,6 @@ def merged_off_tokens(tokens: Column, specials=("[SEP]", "[CLS]")) -> Column:
 
     def words(rows: Column) -> Column:
         heads = F.filter(F.transform(rows, lambda t, i: F.when(~F.startswith(t["string"], F.lit("##")) | (i == 0), i)), lambda i: i.isNotNull())
-        end = lambda k: F.coalesce(F.get(heads, k + 1), F.size(rows))
-        return F.transform(heads, lambda h, k: merged_token(F.slice(rows, h + 1, end(k) - h)))
+        return once(heads, lambda heads: F.transform(heads, lambda h, k: once(F.slice(rows, h + 1, F.coalesce(F.get(heads, k + 1), F.size(rows)) - h), merged_token)))
 
-    return words(kept)
+    return once(kept, words)

@@ -65,9 +65,21 @@ def subword_merge(spark, d):
 WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, {_TOKENS} AS w FROM conversations) SELECT doc_id, coalesce(array_to_string(w, ' '), '') AS words FROM t
 """)
 def subword_merge_structs(spark, d):
-    """The pieces of a document in one array, merged into its words."""
-    gathered = F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("piece").alias("string"), F.struct("start", "end").cast(schema.OFFSET).alias("offset"), "prediction", F.lit(None).cast("string").alias("gold_label"), F.lit(None).cast("double").alias("prob")).cast(schema.TOKEN).alias("token"))))
-    docs = _pieces(spark, d).groupBy("doc_id").agg(F.transform(gathered, lambda x: x["token"]).alias("t"))
+    """The pieces of a document in one array, as _pieces cuts them, merged into its words."""
+    rows = catalogue.spread(table(spark, d, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tokens.token_spans(F.col("text")).alias("t"))
+
+    def piece(string, start, end, prediction):
+        return F.struct(string.alias("string"), F.struct(start.alias("start"), end.alias("end")).alias("offset"), prediction.alias("prediction"), F.lit(None).cast("string").alias("gold_label"), F.lit(None).cast("double").alias("prob")).cast(schema.TOKEN)
+
+    def cut(t):
+        last = ((F.length(t["string"]) - 1) / 4).cast("int")
+        mark = lambda k: F.when(k > 0, "##").otherwise("")
+        own = lambda k: F.concat(mark(k), F.substring(t["string"], 4 * k + 1, F.lit(4)))
+        start = lambda k: t["offset"]["start"] + 4 * k
+        return F.transform(F.sequence(F.lit(0), last), lambda k: piece(own(k), start(k), F.least(start(k) + 4, t["offset"]["end"]), F.when(k > 0, "I-X").otherwise("B-X")))
+
+    end = F.array(piece(F.lit("[SEP]"), F.lit(0), F.lit(0), F.lit("#")))
+    docs = rows.select("doc_id", F.concat(F.flatten(F.transform("t", cut)), end).alias("t"))
     return docs.select("doc_id", F.array_join(F.transform(text.merged_off_tokens(F.col("t")), lambda x: x["string"]), " ").alias("words"))
 
 

@@ -36,6 +36,14 @@ def test_merge_off_tokens(spark):
     assert one(spark, text.merged_off_tokens(F.col("tokens")), tokens=[]) == []
 
 
+def test_long_arrays_merge_in_one_pass(spark):
+    rows = [token(("##" if i % 4 else "") + "abc", 3 * i, 3 * i + 3, "B-X") for i in range(20_000)]
+    frame = spark.createDataFrame([(rows,), (None,)], f"t array<{schema.TOKEN}>").select(text.merged_off_tokens(F.col("t")).alias("m"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("[SEP]") == 1  # the rows without specials stand there once, not in each word
+    merged, none = (r["m"] for r in frame.collect())
+    assert none is None and [(t["string"], t["offset"]["start"]) for t in merged] == [("abc" * 4, 12 * i) for i in range(5_000)]
+
+
 def test_detokenised(spark):
     merged = text.merged_off_tokens(F.col("tokens"))
     assert one(spark, text.detokenised(merged), tokens=SENTENCE) == "Growth in briny mud halts slow heat loss;"
