@@ -5,18 +5,16 @@ A token is struct<string, offset struct<start, end>, prediction, gold_label, pro
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words and single signs; explicit classes, because \w means other things to other engines.
-TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-
+from skein import schema
+from skein.functions import flat
+from skein.functions.flat import TOKEN_PATTERN as TOKEN_PATTERN
 
-def once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once per row, however often and in whatever lambdas f names it."""
-    return F.transform(F.array(value), f)[0]
 
 
 def joined_text(*parts: Column, sep: str = "\n") -> Column:
@@ -47,26 +45,10 @@ def without_marks(token: Column) -> Column:
 def detokenised(tokens: Column) -> Column:
     """Tokens' strings with as many spaces between them as their offsets leave; empty for no tokens, none before the first."""
 
-    def joined(tokens: Column) -> Column:
-        def spaced(token: Column, i: Column) -> Column:
-            gap = token["offset"]["start"] - F.element_at(tokens, F.greatest(i, F.lit(1)))["offset"]["end"]
-            return F.concat(F.when(i > 0, F.repeat(F.lit(" "), F.greatest(F.lit(0), gap))).otherwise(F.lit("")), token["string"])
-
-        return F.array_join(F.transform(tokens, spaced), "")
-
-    return once(tokens, joined)
-
-
-def merged_token(tokens: Column) -> Column:
-    """One token from a run: strings joined over their gaps, later ones without leading #, the hull of the offsets, the first one's labels."""
-
-    def spaced(token: Column, i: Column) -> Column:
-        gap = token["offset"]["start"] - F.element_at(tokens, F.greatest(i, F.lit(1)))["offset"]["end"]
-        return F.when(i == 0, token["string"]).otherwise(F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), gap)), without_marks(token["string"])))
-
-    first, last = F.element_at(tokens, 1), F.element_at(tokens, -1)
-    offset = F.struct(first["offset"]["start"].alias("start"), last["offset"]["end"].alias("end"))
-    return F.struct(F.array_join(F.transform(tokens, spaced), "").alias("string"), offset.alias("offset"), first["prediction"].alias("prediction"), first["gold_label"].alias("gold_label"), first["prob"].alias("prob"))
+    before = F.concat(F.slice(tokens, 1, 1), F.slice(tokens, F.lit(1), F.greatest(F.lit(0), F.size(tokens) - 1)))
+    # the first token stands beside itself, so has no gap; a lambda that named tokens would make them anew for each token
+    spaced = F.zip_with(tokens, before, lambda t, b: F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), t["offset"]["start"] - b["offset"]["end"])), t["string"]))
+    return F.array_join(spaced, "")
 
 
 def cased_tokens(text: Column, offsets: Column, pieces: Column, specials=("[CLS]", "[SEP]", "[PAD]")) -> Column:
@@ -143,12 +125,36 @@ def presence(*lists: Column) -> Column:
     return F.array(*[(F.coalesce(F.size(x), F.lit(0)) > 0).cast("float") for x in lists])
 
 
+def _merged_off(column: pa.Array, specials: tuple[str, ...]) -> pa.Array:
+    bounds, values, null = flat.lists(column)
+    strings = values.field("string")
+    kept = pc.and_(strings.is_valid(), pc.invert(pc.is_in(strings, pa.array(specials, pa.string()))))
+    bounds = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])[bounds]
+    values = values.filter(kept)
+    strings, offset = values.field("string"), values.field("offset")
+    start, end = (offset.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
+    head = ~pc.starts_with(strings, "##").to_numpy(zero_copy_only=False)
+    head[bounds[:-1][np.diff(bounds) > 0]] = True
+    gaps = np.where(head, 0, np.maximum(0, start - np.concatenate([[0], end[:-1]])[: len(end)]))
+    parts = pc.binary_join_element_wise(pc.binary_repeat(" ", pa.array(gaps)), pc.if_else(pa.array(head), strings, pc.utf8_ltrim(strings, "#")), "")
+    first = np.flatnonzero(head)
+    stop = np.append(first[1:], len(head))[: len(first)]
+    whole = pc.binary_join(flat.list_array(np.append(first, len(head)), parts), "")
+    hull = pa.StructArray.from_arrays([pa.array(start[first], pa.int32()), pa.array(end[stop - 1], pa.int32())], ["start", "end"])
+    labels = [values.field(k).take(pa.array(first)) for k in ("prediction", "gold_label", "prob")]
+    out = pa.StructArray.from_arrays([whole, hull, *labels], ["string", "offset", "prediction", "gold_label", "prob"])
+    return flat.list_array(np.searchsorted(first, bounds), out, null)
+
+
 def merged_off_tokens(tokens: Column, specials=("[SEP]", "[CLS]")) -> Column:
-    """Tokens without specials, each piece marked ## merged into the token before it; a leading one starts a token of its own."""
-    kept = F.filter(tokens, lambda t: ~t["string"].isin(*specials))
+    """Tokens without specials, each piece marked ## merged into the token before it; a leading one starts a token of its own.
+
+    A merged token has its pieces' strings joined over their gaps, later ones without leading #, the hull of the offsets and the first one's
+    labels. Arrow in and out, one pass over all of a batch's pieces.
+    """
 
-    def words(rows: Column) -> Column:
-        heads = F.filter(F.transform(rows, lambda t, i: F.when(~F.startswith(t["string"], F.lit("##")) | (i == 0), i)), lambda i: i.isNotNull())
-        return once(heads, lambda heads: F.transform(heads, lambda h, k: once(F.slice(rows, h + 1, F.coalesce(F.get(heads, k + 1), F.size(rows)) - h), merged_token)))
+    @F.arrow_udf(f"array<{schema.TOKEN}>")
+    def merged(column: pa.Array) -> pa.Array:
+        return flat.by_chunks(column, lambda rows: _merged_off(rows, tuple(specials)))
 
-    return once(kept, words)
+    return merged(tokens)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions import fuzzy
+from skein import schema
+from skein.functions import flat, fuzzy
 
 CUTOFF = 93.0
 LENGTHS = 2
@@ -123,18 +126,19 @@ def prefixes(df: DataFrame, tokens: str, longest: int, prefix: int = PREFIX) ->
 _HITS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("first", T.IntegerType()), ("n", T.IntegerType()), ("label", T.StringType()), ("after", T.IntegerType()))]))
 
 
+def _kept(hits) -> list[dict]:
+    """Of hits (first, n, label) in order, those that begin where no earlier one that is kept reaches, with the end of the one before."""
+    kept, after = [], 0
+    for hit in hits:
+        if hit["first"] >= after:
+            kept.append({**hit, "after": after})
+            after = hit["first"] + hit["n"]
+    return kept
+
+
 @F.arrow_udf(_HITS)
 def _left_to_right(column: pa.Array) -> pa.Array:
-    """Of hits (first, n, label) in order, those that begin where no earlier one that is kept reaches, with the end of the one before."""
-    out = []
-    for hits in column.to_pylist():
-        kept, after = [], 0
-        for hit in hits:
-            if hit["first"] >= after:
-                kept.append({**hit, "after": after})
-                after = hit["first"] + hit["n"]
-        out.append(kept)
-    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("label", pa.string()), ("after", pa.int32())])))
+    return pa.array([_kept(hits) for hits in column.to_pylist()], pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("label", pa.string()), ("after", pa.int32())])))
 
 
 def _merged(run: Column, label: Column) -> Column:
@@ -147,22 +151,165 @@ def _merged(run: Column, label: Column) -> Column:
     return F.struct(text.alias("string"), offset.alias("offset"), label.alias("prediction"), first["gold_label"].alias("gold_label"), first["prob"].alias("prob"))
 
 
+class _Runs:
+    """The prefixes of runs of O tokens, as `prefixes` has them, as stretches of one string."""
+
+    def __init__(self, column: pa.Array, longest: int, prefix: int):
+        self.bounds, self.values, self.null = flat.lists(column)
+        values, sizes = self.values, np.diff(self.bounds)
+        codes, at = flat.points(values.field("string"))
+        own = np.diff(at)
+        offset = values.field("offset")
+        self.start, self.end = (offset.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
+        gap = np.concatenate([[0], np.clip(self.start[1:] - self.end[:-1], 0, longest + 1)])[: len(own)]
+        self.stop = np.cumsum(gap + own)
+        self.begin = self.stop - own
+        line = np.full(int(self.stop[-1]) if len(own) else 0, 32, np.uint32)
+        line[np.arange(len(codes)) + np.repeat(self.begin - at[:-1], own)] = codes
+        self.line, self.sums, self.longest, self.prefix = line, flat.sums(line), longest, prefix
+        plain = pc.fill_null(pc.equal(values.field("prediction"), "O"), False).to_numpy(zero_copy_only=False)
+        broken = np.where(plain, len(plain), np.arange(len(plain)))
+        self.reach = np.minimum(np.minimum.accumulate(broken[::-1])[::-1], np.repeat(self.bounds[1:], sizes))
+
+    def __iter__(self):
+        """(n, first tokens, begins, lengths) for each number of tokens."""
+        first = np.arange(len(self.reach))
+        for n in range(1, self.prefix + 1):
+            first = first[first + n <= self.reach[first]]
+            length = self.stop[first + n - 1] - self.begin[first]
+            first, length = first[length <= self.longest], length[length <= self.longest]
+            some = length > 0
+            yield n, first[some], self.begin[first[some]], length[some]
+
+    def texts(self, begin: np.ndarray, length: np.ndarray) -> list[str]:
+        line = self.line.tobytes().decode("utf-32-le")
+        return [line[b : b + k] for b, k in zip(begin.tolist(), length.tolist())]
+
+
+def _salts(n: np.ndarray, at: int | np.ndarray) -> np.ndarray:
+    return np.asarray(n).astype(np.int64) * 1024 + at
+
+
+def _filter(spark, slots: DataFrame) -> np.ndarray:
+    """Bits of the slots (slot), put together by the executors."""
+    words = slots.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(flat.FILTER // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table.view(np.uint8)
+
+
+def _piece_slots(batches):
+    for batch in batches:
+        codes, at = flat.points(batch.column("__piece"))
+        salts = _salts(batch.column("__n").to_numpy(zero_copy_only=False), batch.column("__at").to_numpy(zero_copy_only=False).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(flat.slots(flat.hashed(flat.sums(codes), at[:-1], np.diff(at), salts))))], ["slot"])
+
+
+def candidates(df: DataFrame, tokens: str, terms: DataFrame, longest: int, cutoff: float = CUTOFF, prefix: int = PREFIX, lengths: int = LENGTHS) -> DataFrame:
+    """(text): distinct prefixes, as of `prefixes`, with at least each one that `scored` finds; most others don't come.
+
+    A prefix comes if one of its segments may be among the terms' pieces, by a filter of fixed size.
+    """
+    spark = df.sparkSession
+    bits = spark.sparkContext.broadcast(_filter(spark, _pieces(terms, cutoff, lengths).mapInArrow(_piece_slots, "slot long")))
+    n = np.arange(longest + 1)
+    edits = np.floor((1 - cutoff / 100) * (2 * n + lengths) + 1e-9).astype(np.int64)
+
+    def near(runs: _Runs) -> set[str]:
+        begins, sizes = [], []
+        for _, _, begin, length in runs:
+            found = np.zeros(len(begin), bool)
+            for at in range(int(edits[-1]) + 1):
+                left = np.flatnonzero(~found & (edits[length] >= at))
+                k, parts = length[left], edits[length[left]] + 1
+                low, high = at * k // parts, (at + 1) * k // parts
+                found[left] = flat.may_hold(bits.value, flat.hashed(runs.sums, begin[left] + low, high - low, _salts(k, at)))
+            begins.append(begin[found])
+            sizes.append(length[found])
+        begin, length = np.concatenate(begins), np.concatenate(sizes)
+        once = np.unique(flat.hashed(runs.sums, begin, length, length), return_index=True)[1]
+        return set(runs.texts(begin[once], length[once]))
+
+    @F.arrow_udf("array<string>")
+    def texts(column: pa.Array) -> pa.Array:
+        """A batch's texts, all in its first row."""
+        out = set()
+        for a, b in flat.chunks(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)):
+            out |= near(_Runs(column.slice(a, b - a), longest, prefix))
+        return pa.array([list(out)] + [[]] * (len(column) - 1) if len(column) else [], pa.list_(pa.string()))
+
+    return df.select(F.explode(texts(tokens)).alias("text")).distinct()
+
+
+def _retag(column: pa.Array, best: dict[str, tuple[float, str]], bits: np.ndarray, longest: int, prefix: int) -> pa.Array:
+    """Tokens retagged by the best (less score, label) of each text that has one; bits: a filter of these texts."""
+    runs = _Runs(column, longest, prefix)
+    hits: dict[int, tuple] = {}
+    for n, first, begin, length in runs:
+        near = np.flatnonzero(flat.may_hold(bits, flat.hashed(runs.sums, begin, length)))
+        for i, text in zip(first[near].tolist(), runs.texts(begin[near], length[near])):
+            if text in best:
+                hit = (*best[text], n)
+                hits[i] = min(hits.get(i, hit), hit)
+    values, kept = runs.values, np.ones(len(runs.values), bool)
+    strings, after, firsts, texts, labels = values.field("string"), 0, [], [], []
+    end = runs.end.copy()
+    for i in sorted(hits):  # in order of documents: no hit reaches over its document's end
+        if i < after:
+            continue
+        _, label, n = hits[i]
+        after = i + n
+        kept[i + 1 : after] = False
+        end[i] = runs.end[after - 1]
+        text = strings[i].as_py()
+        for j in range(i + 1, after):
+            text += " " * int(runs.start[j] - runs.end[j - 1]) + strings[j].as_py().lstrip("#")
+        firsts.append(i)
+        texts.append(text)
+        labels.append(label)
+    mask = np.zeros(len(values), bool)
+    mask[firsts] = True
+    strings = pc.replace_with_mask(strings, pa.array(mask), pa.array(texts, pa.string()))
+    predictions = pc.replace_with_mask(values.field("prediction"), pa.array(mask), pa.array(labels, pa.string()))
+    offset = pa.StructArray.from_arrays([pa.array(runs.start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
+    out = pa.StructArray.from_arrays([strings, offset, predictions, values.field("gold_label"), values.field("prob")], ["string", "offset", "prediction", "gold_label", "prob"])
+    return flat.list_array(np.concatenate([[0], np.cumsum(kept)])[runs.bounds], out.filter(pa.array(kept)), runs.null)
+
+
 def tagged(df: DataFrame, tokens: str, terms: DataFrame, cutoff: float = CUTOFF, prefix: int = PREFIX) -> DataFrame:
     """df with its array of tokens retagged from terms (label, term).
 
     Left to right: at an O token, the best-scoring prefix of its run of O tokens becomes one token with the label; the shortest
     prefix and the first label by name win ties. Other tokens pass. Null and empty arrays stay as they are.
 
-    The prefixes' texts are scored against the terms by joins, for vocabularies of any size, and the hits go back to their
-    tokens by a hash of the array, so rows with equal tokens share them. Python sees a document's hits, not its tokens.
+    The distinct prefixes that may be near a term are scored by joins, for vocabularies of any size. Up to SMALL texts with a score go to
+    every executor, which retags row by row; more are joined with the prefixes, and the hits go back to their tokens by a hash of the array.
     """
     terms = terms.select("label", "term").where("term <> ''").distinct()
     longest = terms.agg(F.max(F.length("term")).alias("n")).first()["n"]
     if longest is None:
         return df
+    longest += LENGTHS
+    best = scored(candidates(df, tokens, terms, longest, cutoff, prefix), terms, cutoff).groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("score"), "label")).alias("hit"))
+    rows = best.select("text", "hit.score", "hit.label").limit(SMALL + 1).toArrow()
+    if rows.num_rows > SMALL:
+        return _tagged_by_joins(df, tokens, best, longest, prefix)
+    strings, bits = rows["text"].combine_chunks(), np.zeros(flat.FILTER, bool)
+    codes, at = flat.points(strings)
+    bits[flat.slots(flat.hashed(flat.sums(codes), at[:-1], np.diff(at)))] = True
+    found = df.sparkSession.sparkContext.broadcast((dict(zip(strings.to_pylist(), zip(rows["score"].to_pylist(), rows["label"].to_pylist()))), np.packbits(bits, bitorder="little")))
+
+    @F.arrow_udf(f"array<{schema.TOKEN}>")
+    def retag(column: pa.Array) -> pa.Array:
+        return flat.by_chunks(column, lambda rows: _retag(rows, *found.value, longest, prefix))
+
+    return df.withColumn(tokens, retag(tokens))
+
+
+def _tagged_by_joins(df: DataFrame, tokens: str, best: DataFrame, longest: int, prefix: int) -> DataFrame:
     key = [F.xxhash64(tokens).alias("__a"), F.xxhash64(F.lit(1), tokens).alias("__b")]
-    texts = prefixes(df.select(*key, tokens), tokens, longest + LENGTHS, prefix)
-    hits = scored(texts, terms, cutoff).groupBy("__a", "__b", "first").agg(F.min(F.struct((-F.col("score")).alias("score"), "label", "n")).alias("hit"))
+    texts = prefixes(df.select(*key, tokens), tokens, longest, prefix)
+    hits = texts.join(best, "text").groupBy("__a", "__b", "first").agg(F.min(F.struct("hit.score", "hit.label", "n")).alias("hit"))
     hits = hits.groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct("first", F.col("hit.n").alias("n"), F.col("hit.label").alias("label")))).alias("__hits"))
     hits = hits.withColumn("__hits", _left_to_right("__hits"))
     column, found = F.col(tokens), F.col("__hits")

@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions import flat
 from skein.functions.text import TOKEN_PATTERN
 
 SPAN = "array<struct<string:string,offset:struct<start:int,end:int>>>"
 
 
+def _spans(texts: pa.Array) -> pa.Array:
+    raw, bytes_at = flat.utf8(texts)
+    codes, bounds = flat.points(texts)
+    kind = flat.classes()[codes]
+    begins = np.zeros(len(codes) + 1, bool)
+    begins[bounds] = True
+    word = kind == flat.WORD
+    after = np.concatenate([[False], word[:-1]]) if len(word) else word
+    going = word & after & ~begins[:-1]
+    starts = np.flatnonzero((kind != flat.SPACE) & ~going)
+    gone = np.concatenate([[0], np.cumsum(going)])
+    ends = starts + 1 + np.diff(gone[np.append(starts, len(codes))])
+    lead = (raw & 0xC0) != 0x80
+    place = np.append(np.flatnonzero(lead), len(raw))
+    strings = flat.string_array(raw[(kind != flat.SPACE)[np.cumsum(lead) - 1]], place[ends] - place[starts])
+    tokens = np.searchsorted(starts, bounds)
+    own = np.repeat(bounds[:-1], np.diff(tokens))
+    offset = pa.StructArray.from_arrays([pa.array(starts - own, pa.int32()), pa.array(ends - own, pa.int32())], ["start", "end"])
+    return flat.list_array(tokens, pa.StructArray.from_arrays([strings, offset], ["string", "offset"]))
+
+
 def token_spans(text: Column) -> Column:
     """Words and signs with their offsets in code points; no tokens for null. One pass over each text, Arrow in and out."""
 
     @F.arrow_udf(SPAN)
     def spans(texts: pa.Array) -> pa.Array:
-        import regex
-
-        pattern = regex.compile(TOKEN_PATTERN.replace(r"\s", r"\x09-\x0D\x20"), regex.V0)
-        strings, starts, ends, bounds = [], [], [], [0]
-        for t in texts.to_pylist():
-            for m in pattern.finditer(t or ""):
-                strings.append(m.group())
-                starts.append(m.start())
-                ends.append(m.end())
-            bounds.append(len(strings))
-        offset = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
-        token = pa.StructArray.from_arrays([pa.array(strings, pa.string()), offset], ["string", "offset"])
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), token)
+        sizes = np.diff(flat.utf8(texts)[1])
+        return pa.concat_arrays([_spans(texts.slice(a, b - a)) for a, b in flat.chunks(sizes)] or [_spans(texts)])
 
     return spans(text)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein import schema
-from skein.functions import text
+from skein.functions import flat, text
 from skein.operators import catalogue, dictionary, markup, tokens
 from skein.plans.registry import query, ratio_sql, table
 
@@ -17,8 +19,16 @@ _N = f"CAST(len({_TOKENS}) AS INTEGER)"
 
 def typed(spans, prediction: str = "O"):
     """Spans as tokens that have one prediction."""
-    plain = lambda t: F.struct(t["string"].alias("string"), t["offset"].alias("offset"), F.lit(prediction).alias("prediction"), F.lit(None).cast("string").alias("gold_label"), F.lit(None).cast("double").alias("prob"))
-    return F.transform(spans, plain).cast(f"array<{schema.TOKEN}>")
+
+    @F.arrow_udf(f"array<{schema.TOKEN}>")
+    def tokens(column: pa.Array) -> pa.Array:
+        bounds, values, null = flat.lists(column)
+        n = len(values)
+        labels = pa.repeat(pa.scalar(prediction, pa.string()), n)
+        token = pa.StructArray.from_arrays([values.field("string"), values.field("offset"), labels, pa.nulls(n, pa.string()), pa.nulls(n, pa.float64())], ["string", "offset", "prediction", "gold_label", "prob"])
+        return flat.list_array(bounds, token, null)
+
+    return tokens(spans)
 
 
 @query(f"SELECT doc_id, {_N} AS n_tokens, CAST(coalesce(list_sum(list_transform({_TOKENS}, lambda x: length(x))), 0) AS BIGINT) AS n_chars FROM documents")
@@ -61,6 +71,29 @@ def subword_merge(spark, d):
     return tokens.merged_pieces(_pieces(spark, d)).select("doc_id", "word", "string", "prediction")
 
 
+def _cut(column: pa.Array) -> pa.Array:
+    """Spans cut at four characters as in _pieces, with a last [SEP] in each row."""
+    bounds, values, null = flat.lists(column)
+    words, offset = values.field("string").to_pylist(), values.field("offset")
+    start, end = (offset.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+    strings, tags, of = [], [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        for w in range(a, b):
+            cut = range(0, len(words[w]), 4)
+            strings += [("##" if k else "") + words[w][k : k + 4] for k in cut]
+            tags += ["I-X" if k else "B-X" for k in cut]
+            of += [(w, k) for k in cut]
+        strings.append("[SEP]")
+        tags.append("#")
+        of.append((-1, 0))
+    w, k = np.array(of, np.int64).reshape(-1, 2).T
+    start, end = np.append(start, 0), np.append(end, 0)  # those of [SEP] last
+    offset = pa.StructArray.from_arrays([pa.array(start[w] + k, pa.int32()), pa.array(np.minimum(start[w] + k + 4, end[w]), pa.int32())], ["start", "end"])
+    n = len(strings)
+    token = pa.StructArray.from_arrays([pa.array(strings, pa.string()), offset, pa.array(tags, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64())], ["string", "offset", "prediction", "gold_label", "prob"])
+    return flat.list_array(np.concatenate([[0], np.flatnonzero(w < 0) + 1]), token, null)
+
+
 @query(f"""
 WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, {_TOKENS} AS w FROM conversations) SELECT doc_id, coalesce(array_to_string(w, ' '), '') AS words FROM t
 """)
@@ -68,18 +101,7 @@ def subword_merge_structs(spark, d):
     """The pieces of a document in one array, as _pieces cuts them, merged into its words."""
     rows = catalogue.spread(table(spark, d, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tokens.token_spans(F.col("text")).alias("t"))
 
-    def piece(string, start, end, prediction):
-        return F.struct(string.alias("string"), F.struct(start.alias("start"), end.alias("end")).alias("offset"), prediction.alias("prediction"), F.lit(None).cast("string").alias("gold_label"), F.lit(None).cast("double").alias("prob")).cast(schema.TOKEN)
-
-    def cut(t):
-        last = ((F.length(t["string"]) - 1) / 4).cast("int")
-        mark = lambda k: F.when(k > 0, "##").otherwise("")
-        own = lambda k: F.concat(mark(k), F.substring(t["string"], 4 * k + 1, F.lit(4)))
-        start = lambda k: t["offset"]["start"] + 4 * k
-        return F.transform(F.sequence(F.lit(0), last), lambda k: piece(own(k), start(k), F.least(start(k) + 4, t["offset"]["end"]), F.when(k > 0, "I-X").otherwise("B-X")))
-
-    end = F.array(piece(F.lit("[SEP]"), F.lit(0), F.lit(0), F.lit("#")))
-    docs = rows.select("doc_id", F.concat(F.flatten(F.transform("t", cut)), end).alias("t"))
+    docs = rows.select("doc_id", F.arrow_udf(_cut, f"array<{schema.TOKEN}>")("t").alias("t"))
     return docs.select("doc_id", F.array_join(F.transform(text.merged_off_tokens(F.col("t")), lambda x: x["string"]), " ").alias("words"))
 
 
