@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: Words and single signs; explicit classes, because \w means other things to other engines.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: Rows are worked on together up to so many characters or tokens; a longer row is worked on alone.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 #: Bits of a filter. With more entries it lets more through to the exact steps after it.
 FILTER = 1 << 26
 SPACE, WORD, SIGN = 0, 1, 2
