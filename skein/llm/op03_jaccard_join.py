@@ -291,11 +291,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> Da
     """
     spark = docs.sparkSession
     rows = session.documents(docs).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
-    members = session.checkpoint(rows.mapInArrow(_sets(k), "id long, row long, n long, set long"))
+    members = session.checkpoint(rows.mapInArrow(session.released(_sets(k)), "id long, row long, n long, set long"))
     # first the keys that several sets have, then their sets: a frequent key's list is never gathered to find its pivot
-    keys = rows.select("text").mapInArrow(_index(k, percent, None), "key long, set long").groupBy("key").count().where("count > 1")
+    keys = rows.select("text").mapInArrow(session.released(_index(k, percent, None)), "key long, set long").groupBy("key").count().where("count > 1")
     listed = spark.sparkContext.broadcast(session.bitmap(keys, F.shiftrightunsigned("key", 64 - FILTER_BITS), FILTER_BITS))
-    index = session.checkpoint(rows.select("text").mapInArrow(_index(k, percent, listed), "key long, set long"))
+    index = session.checkpoint(rows.select("text").mapInArrow(session.released(_index(k, percent, listed)), "key long, set long"))
     lists = session.checkpoint(index.groupBy("key").agg(F.min("set").alias("pivot"), F.max("set").alias("last")).where("pivot < last").drop("last"))
     pairs = session.checkpoint(index.join(lists, "key").where("pivot <> set").select("pivot", "set").distinct())
     # a pivot and its number of parts; the pivot goes to all of them
@@ -305,17 +305,17 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> Da
     chosen = members.where("n > 0").groupBy("set").agg(F.min(F.struct("id", "row")).alias("of")).select("set", "of.id", "of.row")
     wanted = session.checkpoint(wanted.join(chosen, "set"))
     near, _ = session.may_contain(rows, "id", wanted)
-    compared = near.join(wanted, ["id", "row"]).select("set", "pivots", "text").mapInArrow(_members(k), "pivot long, part int, parts int, set long, tokens binary")
+    compared = near.join(wanted, ["id", "row"]).select("set", "pivots", "text").mapInArrow(session.released(_members(k)), "pivot long, part int, parts int, set long, tokens binary")
     compared = compared.repartition(session.partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", F.col("set") != F.col("pivot"), "set")
     path = session.new_path(spark, "compared")
-    compared.mapInArrow(_compared(percent), "kind int, pivot long, part int, parts int, set long, n long, away binary, near boolean").write.parquet(path)
+    compared.mapInArrow(session.released(_compared(percent)), "kind int, pivot long, part int, parts int, set long, n long, away binary, near boolean").write.parquet(path)
     compared = spark.read.parquet(path)
     rest = compared.where("not near")
     own = compared.where("kind = 0").join(rest.select("pivot").distinct(), "pivot", "left_semi")
     passing = rest.withColumn("kind", F.lit(1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     order = ["pivot", "part", "kind", "set", "n", "away", "near"]
     meet = own.select(*order).unionByName(passing.select(*order)).repartition(session.partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", "kind", "set")
-    links = compared.where("near").select(F.col("pivot").alias("a"), F.col("set").alias("b")).unionByName(meet.mapInArrow(_rest_links(percent), "a long, b long"))
+    links = compared.where("near").select(F.col("pivot").alias("a"), F.col("set").alias("b")).unionByName(meet.mapInArrow(session.released(_rest_links(percent)), "a long, b long"))
     roots = session.classes(links).select(F.col("node").alias("set"), "root")
     session.remove(spark, path)
     placed = members.join(roots, "set", "left").withColumn("class", F.coalesce("root", "set"))

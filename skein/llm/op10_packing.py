@@ -136,9 +136,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SEQUENCE,
     shards = session.partitions(spark)
     docs = session.documents(docs).select("doc_id", "text")
     some = docs.where(F.abs(F.xxhash64("doc_id", "text") % SAMPLE) == 0)
-    bounds = some.mapInArrow(_encoded(tokenizer, end_id, None, slices, cache), "key long").agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], 10_000).alias("b")).first()["b"] if shards > 1 else None
+    bounds = some.mapInArrow(session.released(_encoded(tokenizer, end_id, None, slices, cache)), "key long").agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], 10_000).alias("b")).first()["b"] if shards > 1 else None
     cuts = np.unique(np.array(bounds or [], np.int64))
-    rows = docs.mapInArrow(_encoded(tokenizer, end_id, cuts, slices, cache), "doc_id long, key long, place int, ids binary")
+    rows = docs.mapInArrow(session.released(_encoded(tokenizer, end_id, cuts, slices, cache)), "doc_id long, key long, place int, ids binary")
     rows = rows.repartitionById(len(cuts) + 1, F.col("place")).sortWithinPartitions("key", "doc_id", "ids")
 
     def run(batches):
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SEQUENCE,
                         sequence, place = sequence + 1, 0
             yield rows_of(out)
 
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long" + ", ids binary" * ids)
+    return rows.mapInArrow(session.released(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long" + ", ids binary" * ids)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
