@@ -52,6 +52,36 @@ def test_encoder_forgets_rare_pieces(monkeypatch, rows):
     assert out == plain_ids("byte_bpe_50k.json", texts)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_words_go_to_the_tokenizer_in_few_texts(name):
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choices("aeiorstnl\u00e9\u00f1\u0144", k=draw.randint(1, 12))) for _ in range(3000)})
+
+    def encoded(model, texts):
+        (_, _, data, at), = kernels.slices(pa.array(texts), 1 << 20)
+        ids, at = model.slice(data, at)
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.texts = model, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.model.encode_batch_fast(texts, **how)
+
+    model = tokenizing.Encoder(public.path(name), 10**6)
+    model.model = Counting(model.model)
+    texts = [" ".join(words[i : i + 30]) for i in range(0, len(words), 30)]
+    assert encoded(model, texts) == [ids[:-1] for ids in plain_ids(name, texts)]
+    assert model.model.texts <= len(texts) + len(words) // tokenizing.JOINED + 1  # a row's first word has no space before it
+    # letters whose lower case is two signs, so that marks are more than words
+    odd = ["x \u0130\u0130a b\u0130c stanbul \u0149 \u01c5a \u023a n\u0144 \u027fx \u00d7y z\u00f7"]
+    assert encoded(model, odd) == [ids[:-1] for ids in plain_ids(name, odd)]
+
+
 # -- 1 token planes
 
 
