@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +12,12 @@ import pyarrow.compute as pc
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: Rows are worked on together up to so many characters or tokens; a longer row is worked on alone.
 CHUNK = 1 << 16
-#: Bits of a filter. With more entries it lets more through to the exact steps after it.
+#: Bits of a filter, a power of two. With more entries it lets more through to the exact steps after it.
 FILTER = 1 << 26
 SPACE, WORD, SIGN = 0, 1, 2
 
-_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_BITS = 1 << np.arange(8, dtype=np.uint8)
+_BASE, _MIX, _SALT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -71,28 +72,40 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(codes: np.ndarray) -> np.ndarray:
-    """What `hashed` needs of code points."""
+    """What `rolls` and `rolled` need of code points."""
     powers, _ = _powers(len(codes) + 1)
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[: len(codes)], dtype=np.uint64)])
 
 
-def hashed(sums: np.ndarray, start: np.ndarray, size: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-    """64 bits of each stretch of code points and a salt."""
+def rolls(sums: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """64 bits of each stretch of code points."""
     _, inverses = _powers(len(sums))
-    h = (sums[start + size] - sums[start]) * inverses[start] + np.asarray(salt).astype(np.uint64) * np.uint64(_MIX)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(_MIX)
-    return h ^ (h >> np.uint64(29))
+    return (sums[start + size] - sums[start]) * inverses[start]
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    """Places in a filter."""
-    return (hashes % np.uint64(FILTER)).astype(np.int64)
+def rolled(sums: np.ndarray, size: int) -> np.ndarray:
+    """The same of all stretches of one size."""
+    n = max(0, len(sums) - size)
+    return (sums[size:] - sums[:n]) * _powers(len(sums))[1][:n]
 
 
-def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = slots(hashes)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def joined(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """One of several stretches' 64 bits."""
+    h = parts[0]
+    for other in parts[1:]:
+        h = h * np.uint64(_MIX) + other
+    return h
+
+
+def slots(rolls: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+    """Places in a filter of stretches and a salt."""
+    h = (rolls + np.asarray(salt).astype(np.uint64) * np.uint64(_SALT)) * np.uint64(_MIX)
+    h >>= np.uint64(65 - FILTER.bit_length())
+    return h.view(np.int64)
+
+
+def may_hold(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 3] & _BITS[at & 7] > 0
 
 
 def string_array(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise, product
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,12 +13,16 @@ from pyspark.sql import types as T
 
 from skein import schema
 from skein.functions import flat, fuzzy
+from skein.operators import catalogue
 
 CUTOFF = 93.0
 LENGTHS = 2
 PREFIX = 10
 #: Rows of a table that may be broadcast; a larger one is joined by shuffles.
 SMALL = 1_000_000
+#: Edits up to which a text near a term is also known by groups of so many segments without an edit. Groups, and places that they may have, grow fast.
+FINE = 4
+GROUPS = (2, 3, 4)
 
 
 def vocabulary(terms: DataFrame, label: str = "label", term: str = "term") -> DataFrame:
@@ -166,24 +172,32 @@ class _Runs:
         self.begin = self.stop - own
         line = np.full(int(self.stop[-1]) if len(own) else 0, 32, np.uint32)
         line[np.arange(len(codes)) + np.repeat(self.begin - at[:-1], own)] = codes
-        self.line, self.sums, self.longest, self.prefix = line, flat.sums(line), longest, prefix
+        self.line, self.sums = line, flat.sums(line)
         plain = pc.fill_null(pc.equal(values.field("prediction"), "O"), False).to_numpy(zero_copy_only=False)
         broken = np.where(plain, len(plain), np.arange(len(plain)))
-        self.reach = np.minimum(np.minimum.accumulate(broken[::-1])[::-1], np.repeat(self.bounds[1:], sizes))
-
-    def __iter__(self):
-        """(n, first tokens, begins, lengths) for each number of tokens."""
-        first = np.arange(len(self.reach))
-        for n in range(1, self.prefix + 1):
-            first = first[first + n <= self.reach[first]]
-            length = self.stop[first + n - 1] - self.begin[first]
-            first, length = first[length <= self.longest], length[length <= self.longest]
-            some = length > 0
-            yield n, first[some], self.begin[first[some]], length[some]
-
-    def texts(self, begin: np.ndarray, length: np.ndarray) -> list[str]:
-        line = self.line.tobytes().decode("utf-32-le")
-        return [line[b : b + k] for b, k in zip(begin.tolist(), length.tolist())]
+        reach = np.minimum(np.minimum.accumulate(broken[::-1])[::-1], np.repeat(self.bounds[1:], sizes))
+        self.limit = np.minimum(reach, np.arange(len(reach)) + prefix).astype(np.int32)
+        self.last = np.full(len(line) + longest + 1, np.iinfo(np.int32).max, np.int32)  # the first token that ends at a place
+        some = np.flatnonzero(np.diff(self.stop, prepend=-1))
+        self.last[self.stop[some]] = some
+        self.rolls, self.text = {}, None
+
+    def ends(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last tokens of the prefixes of so many characters; of those with the same text the shortest."""
+        last = self.last[self.begin + length]
+        first = np.flatnonzero(last < self.limit)
+        return first, last[first]
+
+    def rolled(self, begin: np.ndarray, size: int) -> np.ndarray:
+        """flat.rolled of stretches of one size. Those of all places are kept: for sizes that are asked for often."""
+        if size not in self.rolls:
+            self.rolls[size] = flat.rolled(self.sums, size)
+        return self.rolls[size][begin]
+
+    def texts(self, begin: np.ndarray, length: int) -> list[str]:
+        if self.text is None:
+            self.text = self.line.tobytes().decode("utf-32-le")
+        return [self.text[b : b + length] for b in begin.tolist()]
 
 
 def _salts(n: np.ndarray, at: int | np.ndarray) -> np.ndarray:
@@ -202,54 +216,167 @@ def _piece_slots(batches):
     for batch in batches:
         codes, at = flat.points(batch.column("__piece"))
         salts = _salts(batch.column("__n").to_numpy(zero_copy_only=False), batch.column("__at").to_numpy(zero_copy_only=False).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(flat.slots(flat.hashed(flat.sums(codes), at[:-1], np.diff(at), salts))))], ["slot"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(flat.slots(flat.rolls(flat.sums(codes), at[:-1], np.diff(at)), salts)))], ["slot"])
+
+
+def _least_edits(n: np.ndarray, m: np.ndarray, cutoff: float) -> np.ndarray:
+    """The most edits between texts of lengths n and m that the cutoff leaves, of the parity of n - m; -1 if the lengths differ by more."""
+    most = np.floor((1 - cutoff / 100) * (n + m) + 1e-9).astype(np.int64)
+    return np.where(np.abs(m - n) > most, -1, most - (most - np.abs(m - n)) % 2)
+
+
+def _groups(edits: int, k: int) -> list[tuple[int, ...]]:
+    """Of the segments of a text that is cut into k more than it has edits, any k."""
+    return list(combinations(range(edits + k), k))
+
+
+def _group_cuts(n, edits: int, k: int) -> list[tuple]:
+    """Starts and sizes of the segments that groups of k are of, in texts of length n."""
+    low = [at * n // (edits + k) for at in range(edits + k + 1)]
+    return [(a, b - a) for a, b in pairwise(low)]
+
+
+def _group_salt(n, edits: int, group: tuple[int, ...]):
+    return ((n * 8 + len(group)) * 8 + edits) * 1024 + sum(1 << i for i in group)
+
+
+def _moves(edits: int, more: int, group: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """How far the segments of a group may stand from their places in the text, in a term that is longer by `more`. No edit stands before the
+    first segment or behind the last one; elsewhere there are as many edits at least as the places move by."""
+    last, any_ = edits + len(group) - 1, range(-((edits - more) // 2), (edits + more) // 2 + 1)
+    ways = product(*[(0,) if i == 0 else (more,) if i == last else any_ for i in group])
+    return [way for way in ways if sum(abs(b - a) for a, b in pairwise((0, *way, more))) <= edits]
+
+
+def _group_slots(terms: pa.Array, cutoff: float, lengths: int) -> np.ndarray:
+    """Slots of what any text near enough to one of the terms, by up to FINE edits, holds in groups of segments without an edit."""
+    codes, at = flat.points(terms)
+    sums, m, out = flat.sums(codes), np.diff(at), [np.zeros(0, np.int64)]
+    for more in range(-lengths, lengths + 1):
+        edits = np.where(m > more, _least_edits(m - more, m, cutoff), -1)
+        for e in range(FINE + 1):
+            rows = np.flatnonzero(edits == e)
+            n, size = m[rows] - more, m[rows]
+            for k, group in ((k, g) for k in GROUPS for g in _groups(e, k) if len(rows)):
+                cuts = _group_cuts(n, e, k)
+                for way in _moves(e, more, group):
+                    moved = [(cuts[i][0] + x, cuts[i][1]) for i, x in zip(group, way)]
+                    there = np.flatnonzero(np.all([(low >= 0) & (low + width <= size) for low, width in moved], axis=0))
+                    rolls = [flat.rolls(sums, at[rows][there] + low[there], width[there]) for low, width in moved]
+                    out.append(flat.slots(flat.joined(rolls), _group_salt(n, e, group)[there]))
+    return np.unique(np.concatenate(out))
+
+
+class _Near:
+    """Finds the stretches of runs that may be near a term, by filters of what the terms' segments hold: of single ones, then of groups."""
+
+    def __init__(self, one: np.ndarray, more: np.ndarray, shortest: int, longest: int, cutoff: float, lengths: int):
+        self.one, self.more, self.cuts = one, more, {}
+        for n in range(max(1, shortest - lengths), longest + 1):
+            edits = int(np.floor((1 - cutoff / 100) * (2 * n + lengths) + 1e-9))
+            kinds = {int(_least_edits(np.int64(n), np.int64(n + d), cutoff)) for d in range(-lengths, lengths + 1) if n + d > 0} - {-1}
+            groups = [[self._kind(n, e, k) for e in sorted(kinds)] for k in GROUPS]
+            self.cuts[n] = _group_cuts(n, edits, 1), [] if max(kinds, default=0) > FINE else groups
+
+    @staticmethod
+    def _kind(n: int, edits: int, k: int) -> tuple:
+        """Segments, groups of them, a row for each place in a group, and the groups' salts."""
+        groups = _groups(edits, k)
+        return _group_cuts(n, edits, k), np.array(groups).T, np.array([[_group_salt(n, edits, g)] for g in groups])
+
+    def __call__(self, runs: _Runs, length: int) -> np.ndarray:
+        """Where those of one length begin."""
+        begin = runs.begin[runs.ends(length)[0]]
+        single, steps = self.cuts[length]
+        found = np.zeros(len(begin), bool)
+        for at, (low, size) in enumerate(single):
+            found |= flat.may_hold(self.one, flat.slots(runs.rolled(begin + low, size), _salts(np.int64(length), at)))
+        for kinds in steps:
+            begin = begin[found]
+            found = np.zeros(len(begin), bool)
+            for cuts, groups, salts in kinds if len(begin) else ():
+                rolls = np.stack([runs.rolled(begin + low, size) for low, size in cuts])
+                found |= flat.may_hold(self.more, flat.slots(flat.joined([rolls[row] for row in groups]), salts)).any(axis=0)
+        return begin[found]
 
 
-def candidates(df: DataFrame, tokens: str, terms: DataFrame, longest: int, cutoff: float = CUTOFF, prefix: int = PREFIX, lengths: int = LENGTHS) -> DataFrame:
+def candidates(df: DataFrame, tokens: str, terms: DataFrame, shortest: int, longest: int, cutoff: float = CUTOFF, prefix: int = PREFIX, lengths: int = LENGTHS) -> DataFrame:
     """(text): distinct prefixes, as of `prefixes`, with at least each one that `scored` finds; most others don't come.
 
-    A prefix comes if one of its segments may be among the terms' pieces, by a filter of fixed size.
+    A prefix comes if one of its segments, and groups of those of finer cuts, may be among what the terms have there, by filters of fixed size.
+    shortest: length of a term at least; longest: of a prefix at most.
     """
     spark = df.sparkSession
-    bits = spark.sparkContext.broadcast(_filter(spark, _pieces(terms, cutoff, lengths).mapInArrow(_piece_slots, "slot long")))
-    n = np.arange(longest + 1)
-    edits = np.floor((1 - cutoff / 100) * (2 * n + lengths) + 1e-9).astype(np.int64)
 
-    def near(runs: _Runs) -> set[str]:
-        begins, sizes = [], []
-        for _, _, begin, length in runs:
-            found = np.zeros(len(begin), bool)
-            for at in range(int(edits[-1]) + 1):
-                left = np.flatnonzero(~found & (edits[length] >= at))
-                k, parts = length[left], edits[length[left]] + 1
-                low, high = at * k // parts, (at + 1) * k // parts
-                found[left] = flat.may_hold(bits.value, flat.hashed(runs.sums, begin[left] + low, high - low, _salts(k, at)))
-            begins.append(begin[found])
-            sizes.append(length[found])
-        begin, length = np.concatenate(begins), np.concatenate(sizes)
-        once = np.unique(flat.hashed(runs.sums, begin, length, length), return_index=True)[1]
-        return set(runs.texts(begin[once], length[once]))
+    def group_slots(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_group_slots(batch.column("term"), cutoff, lengths))], ["slot"])
+
+    one = _filter(spark, _pieces(terms, cutoff, lengths).mapInArrow(_piece_slots, "slot long"))
+    more = _filter(spark, terms.select("term").distinct().mapInArrow(group_slots, "slot long"))
+    bits = spark.sparkContext.broadcast((one, more))
 
     @F.arrow_udf("array<string>")
     def texts(column: pa.Array) -> pa.Array:
         """A batch's texts, all in its first row."""
-        out = set()
+        out, near = set(), _Near(*bits.value, shortest, longest, cutoff, lengths)
         for a, b in flat.chunks(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)):
-            out |= near(_Runs(column.slice(a, b - a), longest, prefix))
+            runs = _Runs(column.slice(a, b - a), longest, prefix)
+            for length in near.cuts:
+                out.update(runs.texts(near(runs, length), length))
         return pa.array([list(out)] + [[]] * (len(column) - 1) if len(column) else [], pa.list_(pa.string()))
 
-    return df.select(F.explode(texts(tokens)).alias("text")).distinct()
-
-
-def _retag(column: pa.Array, best: dict[str, tuple[float, str]], bits: np.ndarray, longest: int, prefix: int) -> pa.Array:
-    """Tokens retagged by the best (less score, label) of each text that has one; bits: a filter of these texts."""
+    # a column of its own, else the tokens would go to the JVM and back before it; not deterministic, as a row's texts are its batch's: Spark
+    # would else infer a filter of rows with texts, run it before, and find fewer in the rows that are left
+    return df.select(texts.asNondeterministic()(tokens).alias("texts")).select(F.explode("texts").alias("text")).distinct()
+
+
+class _Best:
+    """The best (less score, label) of each text that has one, in flat arrays: a worker holds many."""
+
+    def __init__(self, rows: pa.Table):
+        strings, rolls = rows["text"].combine_chunks(), [np.zeros(0, np.uint64)]
+        sizes = pc.utf8_length(strings).to_numpy(zero_copy_only=False)
+        for a, b in flat.chunks(sizes):
+            codes, at = flat.points(strings.slice(a, b - a))
+            rolls.append(flat.rolls(flat.sums(codes), at[:-1], np.diff(at)))
+        rolls = np.concatenate(rolls)
+        order = np.argsort(rolls)
+        self.rolls, self.lengths, self.bits = rolls[order], np.unique(sizes).tolist(), np.zeros(flat.FILTER // 8, np.uint8)
+        at, order = flat.slots(self.rolls), pa.array(order)
+        np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        self.strings, self.score = strings.take(order), rows["score"].combine_chunks().take(order)
+        self.label = rows["label"].combine_chunks().dictionary_encode().take(order)
+
+    def near(self, rolls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some texts, by their 64 bits, are found, and the first place of each of these."""
+        some = np.flatnonzero(flat.may_hold(self.bits, flat.slots(rolls)))
+        at = np.searchsorted(self.rolls, rolls[some])
+        there = (at < len(self.rolls)) & (np.append(self.rolls, np.uint64(0))[at] == rolls[some])
+        return some[there], at[there]
+
+    def get(self, texts: list[str], at: np.ndarray) -> list[tuple[float, str] | None]:
+        """(less score, label) of texts with the places of `near`. Other texts may have the same 64 bits."""
+        places = pa.array(at)
+        out = list(zip(self.score.take(places).to_pylist(), self.label.take(places).to_pylist()))
+        for i, (text, string) in enumerate(zip(texts, self.strings.take(places).to_pylist())):
+            if text != string:
+                end = int(np.searchsorted(self.rolls, self.rolls[at[i]], "right"))
+                out[i] = next(((self.score[j].as_py(), self.label[j].as_py()) for j in range(at[i], end) if self.strings[j].as_py() == text), None)
+        return out
+
+
+def _retag(column: pa.Array, best: _Best, longest: int, prefix: int) -> pa.Array:
+    """Tokens retagged by the best (less score, label) of each text that has one."""
     runs = _Runs(column, longest, prefix)
     hits: dict[int, tuple] = {}
-    for n, first, begin, length in runs:
-        near = np.flatnonzero(flat.may_hold(bits, flat.hashed(runs.sums, begin, length)))
-        for i, text in zip(first[near].tolist(), runs.texts(begin[near], length[near])):
-            if text in best:
-                hit = (*best[text], n)
+    for length in best.lengths:
+        first, last = runs.ends(length)
+        begin = runs.begin[first]
+        near, at = best.near(flat.rolls(runs.sums, begin, length))
+        for i, j, found in zip(first[near].tolist(), last[near].tolist(), best.get(runs.texts(begin[near], length), at)):
+            if found:
+                hit = (*found, j - i + 1)
                 hits[i] = min(hits.get(i, hit), hit)
     values, kept = runs.values, np.ones(len(runs.values), bool)
     strings, after, firsts, texts, labels = values.field("string"), 0, [], [], []
@@ -286,22 +413,20 @@ def tagged(df: DataFrame, tokens: str, terms: DataFrame, cutoff: float = CUTOFF,
     every executor, which retags row by row; more are joined with the prefixes, and the hits go back to their tokens by a hash of the array.
     """
     terms = terms.select("label", "term").where("term <> ''").distinct()
-    longest = terms.agg(F.max(F.length("term")).alias("n")).first()["n"]
+    shortest, longest = terms.agg(F.min(F.length("term")), F.max(F.length("term"))).first()
     if longest is None:
         return df
     longest += LENGTHS
-    best = scored(candidates(df, tokens, terms, longest, cutoff, prefix), terms, cutoff).groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("score"), "label")).alias("hit"))
+    df = catalogue.batched(df)
+    best = scored(candidates(df, tokens, terms, shortest, longest, cutoff, prefix), terms, cutoff).groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("score"), "label")).alias("hit"))
     rows = best.select("text", "hit.score", "hit.label").limit(SMALL + 1).toArrow()
     if rows.num_rows > SMALL:
         return _tagged_by_joins(df, tokens, best, longest, prefix)
-    strings, bits = rows["text"].combine_chunks(), np.zeros(flat.FILTER, bool)
-    codes, at = flat.points(strings)
-    bits[flat.slots(flat.hashed(flat.sums(codes), at[:-1], np.diff(at)))] = True
-    found = df.sparkSession.sparkContext.broadcast((dict(zip(strings.to_pylist(), zip(rows["score"].to_pylist(), rows["label"].to_pylist()))), np.packbits(bits, bitorder="little")))
+    found = df.sparkSession.sparkContext.broadcast(_Best(rows))
 
     @F.arrow_udf(f"array<{schema.TOKEN}>")
     def retag(column: pa.Array) -> pa.Array:
-        return flat.by_chunks(column, lambda rows: _retag(rows, *found.value, longest, prefix))
+        return flat.by_chunks(column, lambda rows: _retag(rows, found.value, longest, prefix))
 
     return df.withColumn(tokens, retag(tokens))
 

@@ -3,13 +3,15 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein import schema
-from skein.functions import fuzzy, text
+from skein.functions import flat, fuzzy, text
 from skein.operators import dictionary, markup, tokens
 
 
@@ -147,6 +149,47 @@ def test_tagged_markup_makes_no_rows_of_prefixes(spark, monkeypatch):
     assert got[2] == markup.serialised([]) and got[3] is None
 
 
+def test_tagger_holds_workers_to_small_batches(spark):
+    """Each form of a batch's tokens takes memory in a worker."""
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+
+    @F.arrow_udf("int")
+    def rows(column: pa.Array) -> pa.Array:
+        return pa.repeat(pa.scalar(len(column), pa.int32()), len(column))
+
+    frame = spark.range(0, 9000, 1, 1).select(F.array().cast(f"array<{schema.TOKEN}>").alias("tokens"))
+    tagged = dictionary.tagged(frame, "tokens", spark.createDataFrame([("place", "briny mud")], "label string, term string"))
+    assert tagged.select(rows("tokens").alias("n")).agg(F.max("n")).first()[0] <= 2000
+
+
+@pytest.mark.parametrize("cutoff", [93.0, 80.0])
+def test_filters_pass_near_texts_and_few_others(spark, cutoff):
+    rng = random.Random(5)
+    words = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(3))
+    terms = sorted({words() for _ in range(80)})
+    texts = {words() for _ in range(150)}
+    for term in terms:
+        w = list(term)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", " "])
+        texts.add("".join(w))
+    frame = spark.createDataFrame([([token(t, 0, len(t))],) for t in sorted(texts)], f"tokens array<{schema.TOKEN}>")
+    vocabulary = spark.createDataFrame([("x", t) for t in terms], "label string, term string")
+    got = {r["text"] for r in dictionary.candidates(frame, "tokens", vocabulary, min(map(len, terms)), max(map(len, terms)) + 2, cutoff).collect()}
+    near = {t for t in texts if any(abs(len(t) - len(x)) <= 2 and fuzzy.ratio(t, x) >= cutoff for x in terms)}
+    assert near <= got and (cutoff < 93 or len(got) - len(near) < len(texts) / 5)
+
+
+def test_best_tells_texts_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(flat, "rolls", lambda sums, start, size: np.full(len(start), 7, np.uint64))
+    best = dictionary._Best(pa.table({"text": ["ab", "c"], "score": [-100.0, -95.0], "label": ["x", "y"]}))
+    found, at = best.near(np.array([7, 8, 7, 7], np.uint64))
+    assert found.tolist() == [0, 2, 3]
+    assert best.get(["ab", "c", "d"], at) == [(-100.0, "x"), (-95.0, "y"), None]
+
+
 def test_token_spans_equal_the_pattern():
     import pyarrow as pa
     import regex
